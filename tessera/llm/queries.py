@@ -5,25 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontaminate, html_extract, mixing, neighbours, ngram_join, pii, secret_scan, sharding, toxicity
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharding_digest(_documents(spark, sf_dir))
+    return sharding.sharding_digest(_table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_digest(_documents(spark, sf_dir))
+    return mixing.mixing_digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_digest(_table(spark, sf_dir, "pages"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
+    "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
+    "op9_neighbours": op9_neighbours,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+        SELECT a.vec_id AS query_id,
+               CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS INTEGER) AS rank,
+               b.vec_id AS vec_id, list_dot_product(a.e, b.e) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE a.vec_id % 20 = 0
+        QUALIFY rank <= 20""",
+}
