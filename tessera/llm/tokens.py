@@ -30,7 +30,9 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     Words are runs of anything but ASCII white space, A-Z in lower case. Null
     texts have none.
     """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # A copy, as the kernel for lower case misreads the offsets of some slices.
+    own = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(own))
     offsets = np.asarray(split.offsets, dtype=np.int64)
     flat = split.flatten()
     full = np.asarray(pc.binary_length(flat)) > 0
