@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the query contracts, as a Java / Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -48,6 +49,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_parts(df: DataFrame, by: str, values: tuple[str, ...], label: str) -> dict[str, DataFrame]:
+    """As :func:`cut`, with a table for each of the ``values`` that the column ``by`` takes."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    schema = T.StructType([f for f in df.schema.fields if f.name != by])
+    out = {}
+    for v in values:
+        part = f"{path}/{by}={v}"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        out[v] = spark.read.schema(schema).parquet(part) if there else spark.createDataFrame([], schema)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a cut table that nothing will read any more."""
+    spark = table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}
