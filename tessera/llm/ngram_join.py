@@ -33,7 +33,7 @@ MOST_FREQUENT = 1 << 17
 #: Candidate rows whose ids are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Shingles that one verification task holds; larger candidate groups are split into blocks, every pair of blocks a task.
-TASK_SHINGLES = 4 << 20
+TASK_SHINGLES = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -77,7 +77,7 @@ def _read_sets(key_type: pa.DataType, key: str, text: str, n: int) -> Callable:
                 sets = list(shingle_sets(batch.column(text).slice(a, z - a), n))
                 packed = [pack(s) for s in sets]
                 held += sets
-                extra = often() if sum(map(len, held)) > 1 << 23 else []
+                extra = often() if sum(map(len, held)) > 1 << 21 else []
                 yield rows(keys.slice(a, z - a), [len(s) for s in sets], packed, extra)
         yield rows(pa.nulls(0, key_type), [], [], often())
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text of one step of work, in bytes; longer single texts are steps of their own.
-STEP_BYTES = 32 << 20
+STEP_BYTES = 6 << 20
 
 
 def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
