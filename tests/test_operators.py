@@ -179,3 +179,14 @@ def test_stream_of_arrivals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["source_id"] for r in spark.table("arrived").collect()] == ["x"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.plans import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(images.encode_png(np.random.default_rng(8).integers(0, 255, (48, 48)).astype(np.uint8)))
+    cli.main(["generate", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--downscale", "0.5", "--num-scales", "2", "--num-steps-per-scale", "2"])
+    assert images.decode_png((tmp_path / "out" / "a.png").read_bytes()).shape == (24, 24)
+    cli.main(["sweep", str(tmp_path / "in"), "--output", str(tmp_path / "s"), "--seeds", "0", "1", "--topk-grid", "2", "99999", "--num-scales", "2", "--downscale", "0.5", "--num-steps-per-scale", "2"])
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
