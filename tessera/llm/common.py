@@ -19,6 +19,7 @@ _UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(_UPPER, _UPPER.lower())
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +45,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     its files are below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = _new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,7 +53,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def cut_parts(df: DataFrame, by: str, values: tuple[str, ...], label: str) -> dict[str, DataFrame]:
     """As :func:`cut`, with a table for each of the ``values`` that the column ``by`` takes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    path = _new_path(spark, label)
     df.write.partitionBy(by).parquet(path)
     schema = T.StructType([f for f in df.schema.fields if f.name != by])
     out = {}
@@ -68,8 +69,24 @@ def discard(table: DataFrame) -> None:
     """Delete the files of a cut table that nothing will read any more."""
     spark = table.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, name)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session has cut; results that read them have to be written before."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> DataFrame:
