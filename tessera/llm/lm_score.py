@@ -28,8 +28,8 @@ from .tokens import encode, steps, word_hashes
 
 PAIR_BITS = 48
 #: Text of a chunk, and text whose keys one range of the counts is to hold, in bytes.
-CHUNK_BYTES = 12 << 20
-RANGE_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+RANGE_BYTES = 12 << 20
 #: No word has white space, so these stand for none.
 END, START = (xxhash.xxh64_intdigest(x) for x in ("\n", "\t"))
 #: Context frequencies 0, 1, 2, 3-4, 5-8, ... fall into buckets of their own.
