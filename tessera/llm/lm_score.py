@@ -135,9 +135,8 @@ def _read(key: str, text: str, bits: int, chunk_bytes: int, arrow_key: pa.DataTy
                             pa.array([None, *[x[0] for x in asks]], pa.string()), pa.array([None, *[x[1] for x in asks]], pa.int64()),
                             pa.array([squeeze(c.codes.astype(np.uint32)), *[x[2] for x in asks]], pa.binary()), pa.array([squeeze(c.lengths.astype(np.uint32)), *[x[3] for x in asks]], pa.binary()),
                             pa.array([squeeze(c.hashes), *[None] * len(asks)], pa.binary()), pa.concat_arrays([keys, pa.nulls(len(asks), keys.type)]),
-                            pa.array([role[mine].tolist(), *[None] * len(asks)], pa.list_(pa.int64())),
                         ],
-                        names=["part", "chunk", "held", "kind", "rng", "a", "b", "hashes", "keys", "roles"],
+                        names=["part", "chunk", "held", "kind", "rng", "a", "b", "hashes", "keys"],
                     )
 
     return run
@@ -233,7 +232,7 @@ def score_corpus(df: DataFrame, trained: Column, *, key: str = "doc_id", text: s
     bits = max(0, math.ceil(math.log2(max(1, size / range_bytes))))
     kind = rows.schema["key"].dataType.simpleString()
     arrow_key = rows.select("key").limit(0).toArrow().schema.field("key").type
-    read = rows.mapInArrow(_read("key", "text", bits, chunk_bytes, arrow_key), f"part string, chunk string, held boolean, kind string, rng long, a binary, b binary, hashes binary, keys array<{kind}>, roles array<long>")
+    read = rows.mapInArrow(_read("key", "text", bits, chunk_bytes, arrow_key), f"part string, chunk string, held boolean, kind string, rng long, a binary, b binary, hashes binary, keys array<{kind}>")
     parts = cut_parts(read, "part", ("texts", "asks"), "lm-read")
     texts, asks = parts["texts"], parts["asks"]
     answers = cut_parts(asks.groupBy("kind", "rng").applyInArrow(_answer, "chunk string, held boolean, kind string, rng long, main binary, deleted binary, totals array<long>").withColumn("part", F.when(F.col("chunk").isNull(), "totals").otherwise("answers")), "part", ("answers", "totals"), "lm-answers")
