@@ -34,8 +34,10 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"[a-z]+")
-_KEYWORDS = re.compile(r"cookie|newsletter|subscri|copyright|©|all rights|privacy|datenschutz|impressum|advert|sponsor|anzeige|publicit|sign up|log ?in|share|follow us|related|recommended|read more|javascript|comment|repl(?:y|ies)", re.I)
+# What notices, adverts, footers and comments say.
+KEYWORDS = ("cookie", "newsletter", "subscri", "copyright", "©", "all rights", "privacy", "datenschutz", "impressum", "advert", "sponsor", "anzeige", "publicit", "sign up", "log in", "login", "share", "follow us", "related", "recommended", "read more", "javascript", "comment", "reply", "replies")
 
 
 @dataclass
@@ -153,29 +155,33 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
 
+def place_features(tags: tuple[str, ...], names: frozenset[str]) -> list[str]:
+    """Binary features of where a block stands: its ancestors and their names."""
+    own = next((t for t in reversed(tags) if t in BLOCK), "none")
+    content = bool({"article", "main"} & set(tags))
+    away = bool({"nav", "header", "footer", "aside", "form"} & set(tags))
+    return ["bias", f"own={own}", f"depth={min(len(tags), 8)}", f"content={content},away={away},own={own}", *[f"in={t}" for t in sorted(set(tags))], *[f"name={x}" for x in sorted(names)]]
+
+
+def text_features(b: Block, first: bool, last: bool) -> list[str]:
+    """Binary features of a block's text."""
+    words = b.text.split()
+    n, letters, end = len(words), len(b.text), b.text[-1]
+    f = [f"words={_bin(n, (2, 4, 8, 15, 30, 60))}", f"links={_bin(b.linked / letters, (0.01, 0.3, 0.8))}", f"end={'w' if end.isalnum() else end}", f"commas={_bin(b.text.count(','), (1, 3))}"]
+    f += [f"caps={_bin(sum(w[:1].isupper() for w in words) / n, (0.2, 0.5, 0.99))}", f"digits={_bin(len(_DIGIT.findall(b.text)) / letters, (0.01, 0.2))}"]
+    low = b.text.lower()
+    if any(k in low for k in KEYWORDS):
+        f += ["key", f"key+words={_bin(n, (4, 15))}"]
+    if first:
+        f.append("first")
+    if last:
+        f.append("last")
+    return f
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Binary features of each block; the ancestors and names decide most, the text the rest."""
-    out = []
-    for i, b in enumerate(blocks):
-        words = b.text.split()
-        n, letters = len(words), max(1, len(b.text))
-        own = next((t for t in reversed(b.tags) if t in BLOCK), "none")
-        f = ["bias", f"own={own}", f"depth={min(len(b.tags), 8)}"]
-        f += [f"in={t}" for t in set(b.tags)] + [f"name={x}" for x in b.names]
-        f += [f"words={_bin(n, (2, 4, 8, 15, 30, 60))}", f"links={_bin(b.linked / letters, (0.01, 0.3, 0.8))}"]
-        f += [f"end={b.text[-1] if not b.text[-1].isalnum() else 'w'}", f"commas={_bin(b.text.count(','), (1, 3))}"]
-        f += [f"caps={_bin(sum(w[:1].isupper() for w in words) / n, (0.2, 0.5, 0.99))}", f"digits={_bin(sum(c.isdigit() for c in b.text) / letters, (0.01, 0.2))}"]
-        if _KEYWORDS.search(b.text):
-            f += ["key", f"key+words={_bin(n, (4, 15))}"]
-        content = bool({"article", "main"} & set(b.tags))
-        away = bool({"nav", "header", "footer", "aside", "form"} & set(b.tags))
-        f += [f"content={content},away={away},own={own}"]
-        if i == 0:
-            f.append("first")
-        if i == len(blocks) - 1:
-            f.append("last")
-        out.append(f)
-    return out
+    """All features of each block; where it stands decides most, its text the rest."""
+    return [place_features(b.tags, b.names) + text_features(b, i == 0, i == len(blocks) - 1) for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -190,8 +196,13 @@ class Field:
         """The most likely labels, by Viterbi."""
         if not blocks:
             return []
-        w, tr = self.weights, self.transitions.tolist()
-        scores = [sum(w.get(f, 0.0) for f in fs) for fs in features(blocks)]
+        w, tr, places, last = self.weights, self.transitions.tolist(), {}, len(blocks) - 1
+        scores = []
+        for i, b in enumerate(blocks):
+            at = (b.tags, b.names)
+            if at not in places:  # many blocks of a page stand in the same place
+                places[at] = sum(w.get(f, 0.0) for f in place_features(*at))
+            scores.append(places[at] + sum(w.get(f, 0.0) for f in text_features(b, i == 0, i == last)))
         best, back = [float(self.start[0]), float(self.start[1]) + scores[0]], []
         for s in scores[1:]:
             other = (best[0] + tr[0][0], best[1] + tr[1][0])
