@@ -193,3 +193,13 @@ def sigma_range(bank: DataFrame, pairs: int = 2000, seed: int = 0, uniform: Call
     spread = bank.agg(F.max(F.array_max("px")).alias("x") - F.min(F.array_min("px")).alias("y")).toDF("spread")
     top = F.when(F.col("hi") > 1e-6, F.col("hi")).when(F.col("spread") > 0, F.col("spread")).otherwise(F.lit(1.0))
     return d.join(spread).withColumn("sigma_max", top).select("sigma_max", F.greatest("lo", F.col("sigma_max") * 0.01).alias("sigma_min"))
+
+
+def candidate_counts(queries: DataFrame, bank: DataFrame, tolerances: tuple[float, ...]) -> DataFrame:
+    """(tolerance, queries, candidates): how many bank patches the band leaves, on the whole."""
+    out = None
+    for t in tolerances:
+        n = mean_band_candidates(queries, bank, t).groupBy("query").agg(F.count("*").alias("n"))
+        one = n.agg(F.lit(float(t)).alias("tolerance"), F.count("*").alias("queries"), F.sum("n").alias("candidates"))
+        out = one if out is None else out.unionByName(one)
+    return out

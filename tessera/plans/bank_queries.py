@@ -69,6 +69,16 @@ def band(spark, d):
     return p.groupBy("query").agg(F.count("*").alias("candidates"), F.min("neighbour").alias("first_candidate"))
 
 
+_T = (1.0, 0.01, 0.002, 0.0005)
+_WITHIN = f"SELECT t AS tolerance, query, count(neighbour) FILTER (WHERE abs(qm - bm) <= t) AS n FROM q, b, (SELECT unnest({list(_T)}::DOUBLE[]) AS t) GROUP BY 1, 2"
+
+
+@query("candidates_by_tolerance", f"""{_BAND}, c AS ({_WITHIN}), total AS (SELECT count(*) AS total FROM bank)
+  SELECT tolerance, count(*) AS queries, CAST(sum(CASE WHEN n = 0 THEN total ELSE n END) AS BIGINT) AS candidates FROM c, total GROUP BY 1""")
+def candidates_by_tolerance(spark, d):
+    return denoise.candidate_counts(perturbed(spark, d), bank(spark, d), _T)
+
+
 @query("denoise_prefiltered", f"""{_BAND}, w AS (SELECT query, neighbour, exp(-(pow(list_distance(qp, px), 2) - min(pow(list_distance(qp, px), 2)) OVER (PARTITION BY query)) / (2 * {SIGMA} * {SIGMA})) AS w FROM pairs JOIN q USING (query) JOIN b USING (neighbour)),
   cells AS (SELECT id, unnest(px) AS x, generate_subscripts(px, 1) - 1 AS pos FROM bank)
   SELECT query, CAST(pos AS INTEGER) AS pos, round(sum(w * x) / sum(w), 6) AS v FROM w JOIN cells ON neighbour = id GROUP BY 1, 2""")
