@@ -77,7 +77,7 @@ def _read_sets(key_type: pa.DataType, key: str, text: str, n: int) -> Callable:
                 sets = list(shingle_sets(batch.column(text).slice(a, z - a), n))
                 packed = [pack(s) for s in sets]
                 held += sets
-                extra = often() if sum(map(len, held)) > 1 << 21 else []
+                extra = often() if sum(map(len, held)) > 1 << 20 else []
                 yield rows(keys.slice(a, z - a), [len(s) for s in sets], packed, extra)
         yield rows(pa.nulls(0, key_type), [], [], often())
 

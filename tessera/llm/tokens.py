@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text of one step of work, in bytes; longer single texts are steps of their own.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 
 
 def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -21,6 +21,7 @@ def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int,
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + step_bytes, side="right")))
         yield at, to
+        pa.default_memory_pool().release_unused()
         at = to
 
 
