@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +113,15 @@ def unit(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def give_back() -> None:
+    """Return a Python worker's unused memory to the system; idle workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over an array of uint64."""
     h = h.astype(np.uint64, copy=True)

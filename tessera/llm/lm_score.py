@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_parts, discard, id_crc, mix64
+from .common import cut_parts, discard, give_back, id_crc, mix64
 from .tokens import encode, steps, word_hashes
 
 PAIR_BITS = 48
@@ -247,6 +247,7 @@ def score_corpus(df: DataFrame, trained: Column, *, key: str = "doc_id", text: s
         rows: dict[tuple[int, int, int], int] = {}
         if t.num_rows and a.num_rows:
             word, context, pair = _chunk_of(t).counts(_answers(a))
+            give_back()
             p2, p1, _ = estimates(word[0], context[0], pair[0], main, kinds)
             order = lambda p: np.where(p > 0, np.rint(-np.log2(np.maximum(p, 1e-30)) * FINENESS), -1).astype(np.int64)
             cells, n = np.unique(np.stack([bucket(context[0]), order(p2), order(p1)]), axis=1, return_counts=True)
@@ -263,6 +264,7 @@ def score_corpus(df: DataFrame, trained: Column, *, key: str = "doc_id", text: s
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
         c = _chunk_of(t)
         word, context, pair = (x.sum(axis=0) for x in c.counts(_answers(a)))
+        give_back()
         p2, p1, p0 = estimates(word, context, pair, total, kinds)
         w = weights[bucket(context)]
         model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)

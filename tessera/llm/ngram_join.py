@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 from .components import components
 from .tokens import encode, gram_hashes, steps, word_hashes
 
@@ -120,6 +120,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> Cal
                 prefixes.append(prefix.tolist())
                 groups.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(ids)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("size"), batch.column("node"), pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["key", "size", "node", "grp", "prefix"])
+            give_back()
 
     return run
 
@@ -211,7 +212,8 @@ def jaccard_components(df: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
 
     nodes = docs.groupBy("grp", "size", "node").agg(F.min("key").alias("low"))
     nodes = cut(nodes.join(candidates, nodes["grp"] == candidates["node"], "left").select(nodes["node"], "size", "low", F.coalesce("root", "grp").alias("cand")), "nodes")
-    weight = nodes.groupBy("cand").agg(F.sum("size").alias("weight"), F.count("*").alias("members")).filter("members > 1")
+    # Written first, so that the join can split a candidate group that holds many nodes.
+    weight = cut(nodes.groupBy("cand").agg(F.sum("size").alias("weight"), F.count("*").alias("members")).filter("members > 1"), "weights")
     wanted = nodes.join(weight, "cand").select("node", "low", "cand", F.ceil(F.col("weight") / F.lit(TASK_SHINGLES)).cast("int").alias("blocks"))
     wanted = cut(wanted, "wanted")
     bounded = wanted.count() <= BROADCAST_ROWS
@@ -225,6 +227,7 @@ def jaccard_components(df: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
         seen = dict(zip(t.column("node").to_pylist(), t.column("ids").to_pylist(), strict=True))
         names = list(seen)
         roots = link([unpack(p) for p in seen.values()], num, den)
+        give_back()
         return pa.table({"node": pa.array(names, pa.binary()), "root": pa.array([names[r] for r in roots], pa.binary())})
 
     links = cut(whole.groupBy("cand", "i", "j").applyInArrow(verify, "node binary, root binary"), "links").filter("node <> root")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, row_hash
+from .common import cut, fresh, give_back, row_hash
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -52,6 +52,7 @@ def shard(df: DataFrame, n_shards: int = 16, *, key: str = "doc_id", text: str =
         at = [int(x.as_py()) for x in where]
         bucket = bucket.take(pc.sort_indices(bucket, [(key, "ascending"), ("__tie", "ascending")]))
         order = np.random.Generator(np.random.PCG64([seed, *at])).permutation(bucket.num_rows)
+        give_back()
         return bucket.take(pa.array(order)).append_column("__pos", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
 
     out = T.StructType([*scattered.schema.fields, T.StructField("__pos", T.LongType())])

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import give_back, mix64
+
 #: Text of one step of work, in bytes; longer single texts are steps of their own.
 STEP_BYTES = 3 << 20
 
@@ -21,8 +23,8 @@ def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tuple[int,
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + step_bytes, side="right")))
         yield at, to
-        pa.default_memory_pool().release_unused()
         at = to
+    give_back()
 
 
 def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -49,8 +51,6 @@ def word_hashes(vocabulary: list[str]) -> np.ndarray:
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all n consecutive words, from the words' hashes; position i holds words i to i+n-1."""
-    from .common import mix64
-
     length = len(words) - n + 1
     if length <= 0:
         return np.zeros(0, dtype=np.uint64)

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_crc, unit
+from .common import fresh, give_back, id_crc, unit
+from .tokens import steps
 
 # Common insults and second-person words in English, German, French and Spanish.
 INSULTS = frozenset("idiot idiots stupid moron morons dumb loser losers pathetic worthless trash garbage scum clown clowns disgusting fool fools jerk ugly hate shut liar idiotic imbecile bastard crap damn vermin filth idioten dumm dummkopf trottel arschloch abschaum widerlich versager lügner müll hässlich idiote stupide crétin imbécile connard salaud débile ordure minable dégoûtant menteur estúpido estúpida idiota imbécil tonto basura asqueroso patético mentiroso inútil payaso escoria".split())
@@ -248,6 +249,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
             folds = b.column("fold").to_pylist()
             x = [dense(t, other[f]) for t, f in zip(b.column("t").to_pylist(), folds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k").cast(pa.string()), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["k", "y", "x"])
+            give_back()
 
     table = rows.mapInArrow(measure, "k string, y int, x array<double>").toArrow().sort_by("k")
     y = (table.column("y").to_numpy() == 1).astype(float)
@@ -273,7 +275,8 @@ def score(df: DataFrame, model: Model, *, text: str = "text", name: str = "score
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(b.column(text).to_pylist()))], names=[*b.schema.names, name])
+            scores = [model.scores(b.column(text).slice(a, z - a).to_pylist()) for a, z in steps(b.column(text))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)
 
