@@ -22,18 +22,22 @@ from .common import fresh
 from .html_pages import labelled_pages
 
 # Element classes of HTML.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td text textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template title textarea select head iframe svg math canvas object audio video button datalist".split())
+UNSEEN = frozenset("script style noscript template title head iframe canvas audio video datalist".split())
+UNSEEN_IN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset("annotation annotation-xml".split())}
+IN_HEAD = frozenset("base link meta noframes".split())  # with those of RAW; anything else ends a head that is still open
 RAW = frozenset("script style textarea title noscript iframe template".split())
-CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "summary"}
+CLOSES_P = BLOCK - {"body", "html", "button", "datalist", "select", "text", "textarea", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "summary"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|["'=]""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"[a-z]+")
 # What notices, adverts, footers and comments say.
@@ -50,6 +54,25 @@ class Block:
     linked: int
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: hidden, aria-hidden equal to true, or a style whose display is none."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1]:
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))  # the first of a name counts
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    display, fixed = "", False
+    for declaration in _COMMENT.sub("", found.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, bang, _ = value.partition("!")
+        if name.strip() == "display" and value.strip() and (bang or not fixed):
+            display, fixed = value.strip(), bool(bang)
+    return display == "none"
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's text in leaf blocks, white space joined, references decoded; never in elements that show none."""
     blocks: list[Block] = []
@@ -67,6 +90,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def put(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
         if text and not (stack and stack[-1][2]):
             pieces.append(text)
             if any(t == "a" for t, _, _ in stack):
@@ -112,10 +137,15 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag in BLOCK:
                     flush()
             continue
-        if tag in RAW:
+        closed = m[3].rstrip().endswith("/")
+        if closed and tag not in BLOCK and any(t in UNSEEN_IN for t, _, _ in stack):
+            continue
+        if tag in RAW and tag != "textarea":
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag == "br" or tag in VOID:
             if tag == "hr":
                 flush()
@@ -142,11 +172,16 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
         if tag in BLOCK:
             flush()
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if closed and tag not in BLOCK:
             continue
         names = frozenset(n for a in _LABEL.findall(m[3]) for n in _NAME.findall("".join(a).lower())[:8]) if m[3] else frozenset()
-        unseen = tag in UNSEEN or bool(stack and stack[-1][2]) or bool(m[3] and _HIDDEN.search(m[3]))
+        unseen = tag in UNSEEN or bool(stack and stack[-1][2]) or bool(m[3] and is_hidden(m[3])) or any(tag in UNSEEN_IN.get(t, ()) for t, _, _ in stack)
         stack.append((tag, names, unseen))
+        if tag == "textarea":
+            end = re.compile(r"</textarea\b[^>]*>", re.I).search(page, at)
+            put(page[at : end.start() if end else size])
+            at = end.end() if end else size
+            pop_to(len(stack) - 1)
     flush()
     return blocks
 
