@@ -174,7 +174,7 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
         if closed and tag not in BLOCK:
             continue
-        names = frozenset(n for a in _LABEL.findall(m[3]) for n in _NAME.findall("".join(a).lower())[:8]) if m[3] else frozenset()
+        names = frozenset(n for a in _LABEL.findall(m[3]) for n in _NAME.findall("".join(a).lower())) if m[3] else frozenset()
         unseen = tag in UNSEEN or bool(stack and stack[-1][2]) or bool(m[3] and is_hidden(m[3])) or any(tag in UNSEEN_IN.get(t, ()) for t, _, _ in stack)
         stack.append((tag, names, unseen))
         if tag == "textarea":

@@ -28,3 +28,11 @@ def test_visible_elements_are_left_to_the_field():
     assert texts("<svg><title/><desc>no</desc><text>One</text><text>Two</text></svg><p>End") == ["One", "Two", "End"]
     assert texts("<form><textarea>a < b</textarea><select><option>A<option>B</select><button>Go</button></form><p>End") == ["a < b", "A", "B", "Go", "End"]
     assert texts("<canvas>no</canvas><video>no</video><datalist><option>no</datalist><p>End") == ["End"]
+
+
+def test_all_names_of_an_attribute_count():
+    names = "wp-block-group is-layout-constrained has-global-padding alignwide sidebar comments"
+    (block,) = html_extract.leaf_blocks(f'<div class="{names}">Nice read!</div>')
+    assert {"sidebar", "comments"} < block.names and len(block.names) == 12
+    page = f'<article><h1>A</h1><p>First text, of the article.</p><div class="{names}"><p>Nice read, thank you for it.</p></div></article>'
+    assert html_extract.main_text(page, html_extract.default_field()) == "A\n\nFirst text, of the article."
