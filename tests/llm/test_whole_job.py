@@ -1,6 +1,26 @@
 """Cases that the corpus operators once cut short."""
 
-from tessera.llm import html_extract
+from tessera.llm import decontaminate, html_extract
+
+# 7 decontamination
+
+
+def test_items_with_free_punctuation_short_or_without_blanks_are_found(spark):
+    items = [
+        "If x + y = 10 and x - y = 4 , what is x * y ?", "Où est la gare ?", "for i in range ( n ) :", "Capital of Peru", "42?", "今天天气怎么样？", "水は何度で沸騰しますか。答えを選びなさい。一番近いものはどれですか。理由も書いてください。",
+        "สวัสดีครับ คุณชื่ออะไร", "😀 🎉", "中国的首都是哪里",
+    ]
+    changed = "水は何度で沸騰しますか。答えを選びなさい。一番近いものはこれですか。理由も書いてください。"
+    texts = [f"zz yy {t} xx - ww" for t in items] + [f"zz我们说{items[5]}然后", f"そして{changed}以上", "- - zz if x, y 10: and x y 4 what is x y", "zz 美国的首都是哪里 yy", "peru of capital est la gare 今天天气 🎉 😀 142", "", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [{i} for i in range(len(items))] + [{5}, {6}, {0}, set(), set(), set(), set()]
+    for blocks in ({}, {"block_words": 20}):
+        rows = sorted(decontaminate.decontaminate(df, bench, **blocks).collect())
+        assert [{m["item_id"] for m in r["matches"]} for r in rows] == want
+    at = {r["doc_id"]: r["matches"][0] for r in rows if r["matches"]}
+    assert [(at[i]["start"], at[i]["words"]) for i in (0, 1, 3, 4, 5, 8, 10)] == [(2, 18), (2, 4), (2, 3), (2, 1), (2, 1), (2, 2), (0, 1)] and at[0]["same"] == 12
+
 
 # 8 pages
 
