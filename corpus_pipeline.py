@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from tessera.llm.common import cut, discard
+from tessera.llm.common import cut, cut_parts, discard, row_hash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,15 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by a Jaccard similarity of 0.8 on five-word shingles, the one of the smallest id.
+    """Of rows that hang together by a Jaccard similarity of 0.8 on five-word shingles, one: that of the smallest id.
 
-    Documents without words are like nothing else and stay, as do documents
-    without an id that are like no document with one. Rows that share an id
-    share its fate.
+    Of rows with that id, and of rows without an id that are like no row with
+    one, the smallest 64-bit hash of the whole row decides; of equal rows one
+    stays. Rows without words are like nothing else and all stay.
     """
-    classes = ngram_join.jaccard_components(docs, n=5, num=80, den=100)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    mark = row_hash(docs, 11)
+    row = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.col("doc_id").alias("id"), mark.alias("hash"))
+    classes = ngram_join.jaccard_components(docs.select(row.alias("row"), "text"), n=5, num=80, den=100, key="row")
+    kept = classes.filter(F.col("row") == F.col("component_id")).groupBy("row").agg(F.when((F.count("*") > 1) & (F.max("n_shingles") > 0), "equal").otherwise("single").alias("__rows"))
+    kept = cut_parts(kept.select(F.col("row.hash").alias("__kept"), "__rows"), "__rows", ("single", "equal"), "kept")
+    of = lambda k: docs.withColumn("__hash", mark).join(kept[k], F.col("__hash") == F.col("__kept"), "left_semi")
+    return of("single").unionByName(of("equal").dropDuplicates(["doc_id", "__hash"])).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Cases that the corpus operators once cut short."""
 
+import corpus_pipeline
 from tessera.llm import decontaminate, html_extract
 
 # 7 decontamination
@@ -56,3 +57,20 @@ def test_all_names_of_an_attribute_count():
     assert {"sidebar", "comments"} < block.names and len(block.names) == 12
     page = f'<article><h1>A</h1><p>First text, of the article.</p><div class="{names}"><p>Nice read, thank you for it.</p></div></article>'
     assert html_extract.main_text(page, html_extract.default_field()) == "A\n\nFirst text, of the article."
+
+
+# Pipeline
+
+
+def test_near_copies_leave_one_row_of_each_class(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(4, text(1), "a")] * 50 + [(5, text(1), "b"), (5, text(2), "c"), (6, text(3), "d"), (6, text(3), "e"), (None, text(1), "f"), (None, text(4), "g"), (None, text(4), "g"), (None, text(4), "h"), (None, text(5), "i")]
+    rows += [(7, None, "j"), (7, None, "j"), (None, " ", "k"), (None, " ", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(r["source"] for r in out.collect())
+    assert [s for s in got if s not in "degh"] == ["a", "c", "i", "j", "j", "k", "k"]
+    assert sum(s in "de" for s in got) == sum(s in "gh" for s in got) == 1
+    again = corpus_pipeline.drop_near_copies(spark, df.repartition(7, "source"), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
