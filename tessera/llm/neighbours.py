@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+EXACT = (1 << 24) // (127 * 127)  # dimensions
+
+
 def _usable(vec: str) -> Column:
     x = F.col(vec)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -33,7 +36,7 @@ def _matrix(t: pa.Table, name: str) -> np.ndarray:
 
 
 def _codes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32, whose products of codes are exact), scales, norms, norms of what the codes miss."""
+    """int8 codes (held as float32), scales, norms, norms of what the codes miss."""
     scale = np.abs(m).max(axis=1) / 127.0
     scale[scale == 0] = 1.0  # denormal vectors
     code = np.rint(m / scale[:, None]).astype(np.int8)
@@ -41,6 +44,14 @@ def _codes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return code.astype(np.float32), scale, np.linalg.norm(m, axis=1), np.linalg.norm(missed, axis=1)
 
 
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of codes; exact, as float32 holds the sums of slices of EXACT dimensions."""
+    total = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        total += a[:, d : d + EXACT] @ b[:, d : d + EXACT].T
+    return total
+
+
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products in double precision, added up from the first component to the last."""
     total = np.zeros(len(a))
@@ -57,10 +68,10 @@ def search_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndar
     for at in range(0, len(ids), step):
         part, part_ids = rows[at : at + step], ids[at : at + step]
         rc, rs, rn, rm = _codes(part)
-        near = (qc @ rc.T).astype(np.float64) * qs[:, None] * rs[None, :]
+        near = code_products(qc, rc) * qs[:, None] * rs[None, :]
         # |q.r - near| <= |missed q| |r| + |coded q| |missed r|, and a little for rounding.
         error = qm[:, None] * rn[None, :] + (qn + qm)[:, None] * rm[None, :]
-        error += 1e-12 * (qn[:, None] * rn[None, :] + 1e-300)
+        error += (1e-12 + q.shape[1] * 2.0**-52) * (qn[:, None] * rn[None, :] + 1e-300)
         own = q_ids[:, None] == part_ids[None, :]
         low = np.where(own, -np.inf, near - error)
         if low.shape[1] > k:

@@ -1,7 +1,9 @@
 """Cases that the corpus operators once cut short."""
 
+import numpy as np
+
 import corpus_pipeline
-from tessera.llm import decontaminate, html_extract
+from tessera.llm import decontaminate, html_extract, neighbours
 
 # 7 decontamination
 
@@ -59,6 +61,19 @@ def test_all_names_of_an_attribute_count():
     assert html_extract.main_text(page, html_extract.default_field()) == "A\n\nFirst text, of the article."
 
 
+# 9 neighbours
+
+
+def test_long_vectors_of_equal_size_lose_no_neighbour():
+    for dim in (1041, 1501, 2501, 4001, 4003, 9999):
+        q, rows = np.ones((1, dim)), np.ones((3, dim))
+        rows[0, 0] = -1
+        found = neighbours.search_tile(np.array([9]), q, np.array([3, 2, 1]), rows, 1, step=1)
+        assert found == [(9, 1, float(dim))], dim
+        codes = np.full((1, dim), 127, dtype=np.float32)
+        assert neighbours.code_products(codes, codes)[0, 0] == 127 * 127 * dim
+
+
 # Pipeline
 
 
