@@ -243,27 +243,18 @@ def connected_components(flagged: DataFrame) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    from ..functions import kernels
+
+    def places(at: pd.Series) -> np.ndarray:
+        """Dense positions that keep who is next to whom; a gap of any width is one."""
+        values, codes = np.unique(at.to_numpy(), return_inverse=True)
+        return np.concatenate([[0], np.cumsum(np.minimum(np.diff(values), 2))]).astype(int)[codes]
+
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "c"]).reset_index(drop=True)
-        place = {(r, c): i for i, (r, c, on) in enumerate(zip(pdf["r"], pdf["c"], pdf["on"], strict=True)) if on}
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (r, c), i in place.items():
-            for n in ((r - 1, c), (r, c - 1)):
-                if n in place:
-                    a, b = find(i), find(place[n])
-                    root[max(a, b)] = min(a, b)
-        number: dict[int, int] = {}
-        out = np.zeros(len(pdf), dtype=np.int32)
-        for i in place.values():
-            out[i] = number.setdefault(find(i), len(number) + 1)
-        return pdf.assign(component=out)[["source_id", "r", "c", "v", "component"]]
+        r, c = places(pdf["r"]), places(pdf["c"])
+        on = np.zeros((r.max() + 1, c.max() + 1), dtype=bool)
+        on[r, c] = pdf["on"]
+        return pdf.assign(component=np.where(pdf["on"], kernels.label(on)[r, c], 0))[["source_id", "r", "c", "v", "component"]]
 
     kind = {f.name: f.dataType.simpleString() for f in flagged.schema.fields}
     return flagged.select(ID, "r", "c", "v", F.coalesce("on", F.lit(False)).alias("on")).groupBy(ID).applyInPandas(label, f"source_id {kind[ID]}, r int, c int, v double, component int")

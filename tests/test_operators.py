@@ -190,3 +190,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert images.decode_png((tmp_path / "out" / "a.png").read_bytes()).shape == (24, 24)
     cli.main(["sweep", str(tmp_path / "in"), "--output", str(tmp_path / "s"), "--seeds", "0", "1", "--topk-grid", "2", "99999", "--num-scales", "2", "--downscale", "0.5", "--num-steps-per-scale", "2"])
     assert spark.read.json(str(tmp_path / "s")).count() == 2
+
+
+def test_noise_levels_of_table_and_kernel_agree(spark):
+    from tessera.functions import kernels
+
+    bank = np.random.default_rng(5).normal(100, 20, (40, 3, 3))
+    rows = spark.createDataFrame([(i, x.ravel().tolist()) for i, x in enumerate(bank)], "id long, px array<double>")
+    found = denoise.sigma_range(rows, pairs=300, seed=4).first()
+    assert np.allclose(tuple(found), kernels.sigma_range(bank, pairs=300, seed=4))
