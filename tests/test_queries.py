@@ -23,7 +23,8 @@ def test_has_rows(spark, sf, name):
     assert not Q[name](spark, sf).isEmpty()
 
 
-def test_entry_imports_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_imports_without_the_corpus_operators(tmp_path, pipeline):
     import os
     import shutil
     import subprocess
@@ -32,5 +33,7 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if pipeline and os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) + %d" % len(set(Q) - set(SQL))
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
