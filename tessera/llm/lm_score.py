@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_parts, discard, give_back, id_crc, mix64
+from .packing import expand, expand_sorted, squeeze, squeeze_sorted
 from .tokens import encode, steps, word_hashes
 
 PAIR_BITS = 48
@@ -38,24 +38,6 @@ BUCKETS = 40
 FINENESS = 4
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Unsigned integers, their bytes by significance, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def expand(b: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return raw.reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).reshape(-1)
-
-
-def squeeze_sorted(a: np.ndarray) -> bytes:
-    return squeeze(np.diff(a, prepend=np.uint64(0)))
-
-
-def expand_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(expand(b, np.uint64), dtype=np.uint64)
-
-
 def bucket(frequency: np.ndarray) -> np.ndarray:
     return np.where(frequency <= 0, 0, 1 + np.ceil(np.log2(np.maximum(frequency, 1)))).astype(int).clip(0, BUCKETS - 1)
 

@@ -99,12 +99,12 @@ def test_components_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 4, 85)
     assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == want
-    old = ngram_join.SMALL_BUCKET, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS
-    ngram_join.SMALL_BUCKET, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS = 4, 2000, 0
+    old = ngram_join.PAIRED, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS
+    ngram_join.PAIRED, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS = 4, 2000, 0
     try:
         assert sorted(map(tuple, ngram_join.jaccard_components(df).collect()), key=str) == want
     finally:
-        ngram_join.SMALL_BUCKET, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS = old
+        ngram_join.PAIRED, ngram_join.TASK_SHINGLES, ngram_join.BROADCAST_ROWS = old
 
 
 def test_components_of_awkward_rows(odd, none):
