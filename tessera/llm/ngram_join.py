@@ -38,8 +38,8 @@ from .tokens import encode, gram_hashes, steps, word_hashes
 #: Shingles are compared by hashes of so many bits; the index has their upper bits.
 ID_BITS, INDEX_BITS = 56, 48
 #: Text of a chunk, and text whose shingles one range of the counts is to hold, in bytes.
-CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 48 << 20
+CHUNK_BYTES = 3 << 20
+RANGE_BYTES = 12 << 20
 #: A prefix shingle of up to so many groups gives their pairs; groups of others join the first of their band of sizes.
 PAIRED = 64
 #: Rows whose addresses (some 60 bytes each) are broadcast at most; more are joined by a shuffle.
