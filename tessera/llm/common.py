@@ -20,6 +20,9 @@ WORD = rf"[^{SPACE}]+"
 _UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(_UPPER, _UPPER.lower())
 
+#: Rows may hold packed arrays of a megabyte: pages and row groups end by size and not by the usual number of rows.
+PARQUET = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "100"}
+
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
@@ -48,7 +51,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = _new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**PARQUET).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +59,7 @@ def cut_parts(df: DataFrame, by: str, values: tuple[str, ...], label: str) -> di
     """As :func:`cut`, with a table for each of the ``values`` that the column ``by`` takes."""
     spark = df.sparkSession
     path = _new_path(spark, label)
-    df.write.partitionBy(by).parquet(path)
+    df.write.options(**PARQUET).partitionBy(by).parquet(path)
     schema = T.StructType([f for f in df.schema.fields if f.name != by])
     out = {}
     for v in values:

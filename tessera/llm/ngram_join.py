@@ -40,6 +40,8 @@ ID_BITS, INDEX_BITS = 56, 48
 #: Text of a chunk, and text whose shingles one range of the counts is to hold, in bytes.
 CHUNK_BYTES = 3 << 20
 RANGE_BYTES = 12 << 20
+#: Ids in one row of a chunk's sets.
+ROW_IDS = 1 << 14
 #: A prefix shingle of up to so many groups gives their pairs; groups of others join the first of their band of sizes.
 PAIRED = 64
 #: Rows whose addresses (some 60 bytes each) are broadcast at most; more are joined by a shuffle.
@@ -125,10 +127,14 @@ def _read_sets(key_type: pa.DataType, key: str, text: str, n: int, order: Order)
         held = list(distinct.values())
         yield rows("sets", chunk, len(held), node=list(distinct), size=[len(s) for s in held], a=[squeeze_sorted(s) for s in held])
         leading = [order.leading(s) for s in held]
-        flat = np.concatenate(leading)
         sizes = np.array([(len(s), len(x)) for s, x in zip(held, leading, strict=True)], np.uint32)
-        yield rows("leading", chunk, 1, node=[b"".join(distinct)], a=[squeeze_sorted(flat)], b=[squeeze(sizes.ravel())])
-        asked, counts = np.unique(order.counters(flat), return_counts=True)
+        names = list(distinct)
+        # Some rows of a bounded length each; a long set is a row of its own.
+        turn = np.cumsum(sizes[:, 1], dtype=np.int64) // ROW_IDS
+        cuts = [0, *(np.nonzero(np.diff(turn))[0] + 1).tolist(), len(held)]
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        yield rows("leading", chunk, len(parts), node=[b"".join(names[x:y]) for x, y in parts], a=[squeeze_sorted(np.concatenate(leading[x:y])) for x, y in parts], b=[squeeze(sizes[x:y].ravel()) for x, y in parts])
+        asked, counts = np.unique(order.counters(np.concatenate(leading)), return_counts=True)
         of = (asked >> order.ranges).astype(np.int64)
         cuts = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(asked)] if len(asked) else [0]
         parts = list(zip(cuts, cuts[1:], strict=False))
@@ -161,12 +167,12 @@ def _prefixes(order: Order) -> Callable:
     def run(leading: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("node", "size", "grp", "last", "spare", "prefix")}
         chunk = leading.column("chunk")[0].as_py() if leading.num_rows else None
-        for names, packed, lengths in zip(*(leading.column(c).to_pylist() for c in ("node", "a", "b")), strict=True):
-            flat = expand_sorted(packed)
+        held = [expand_sorted(b) for b in leading.column("a").to_pylist()]
+        asked = np.unique(order.counters(np.concatenate(held))) if held else np.zeros(0, np.uint64)
+        got = sorted(zip(answers.column("rng").to_pylist(), answers.column("codes").to_pylist(), strict=True))
+        codes = np.concatenate([expand(c, np.uint8) for _, c in got]) if got else np.zeros(0, np.uint8)
+        for names, flat, lengths in zip(leading.column("node").to_pylist(), held, leading.column("b").to_pylist(), strict=True):
             sizes = expand(lengths, np.uint32).reshape(-1, 2).astype(np.int64)
-            asked = np.unique(order.counters(flat))
-            got = sorted(zip(answers.column("rng").to_pylist(), answers.column("codes").to_pylist(), strict=True))
-            codes = np.concatenate([expand(c, np.uint8) for _, c in got]) if got else np.zeros(0, np.uint8)
             ranks = order.ranks(flat, asked, codes)
             ends = np.cumsum(sizes[:, 1])
             alone = np.int64(2) << np.int64(INDEX_BITS)
