@@ -2,8 +2,10 @@
 
 Sources get word targets by weight, capped at a number of epochs. Each source's
 documents, in the order of a seeded hash, are a random permutation that is cut
-into blocks of about ``block_words`` words; the blocks it takes are its exact
-quota. A binary tree over the output shards splits the vector of all quotas, at
+into blocks of about ``block_words`` words. Its exact quota is a number of
+blocks: all of them for every full epoch, then blocks in a permuted order, the
+last of which is taken in part, and the block of one document that fills the
+rest. A binary tree over the output shards splits the vector of all quotas, at
 every node by a multivariate hypergeometric draw, down to a quota for each
 source and shard. Each shard then draws its number of the source's permuted
 blocks, disjoint from every other shard's, and shuffles its documents locally
@@ -21,6 +23,14 @@ from .common import WORD, cut, fresh, unit
 RADIX_BITS = 14
 
 
+#: What a dealt block stands for: all its documents, those of the epoch's last block that are in, or one document.
+WHOLE, PART, EXTRA = 0, 1, 2
+
+
+def _bucket(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(2**63))), 64 - RADIX_BITS).cast("int")
+
+
 def _log_gamma(z: Column) -> Column:
     """ln gamma for z >= 1: Stirling's series seven steps further on, error below 1e-12."""
     y = z + 7.0
@@ -112,15 +122,15 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
 
     Adds ``size`` (words), ``source_size``, ``target`` (of its source, words),
     ``copies`` (0 to ``max_epochs``), ``taken`` (words) and ``placements`` (the
-    output shard of each copy). Whole documents are taken: each source's full
-    epochs, then a prefix of its hash order, then the one document more that
-    brings the sum nearest to the target. A null source is a source of its own;
+    output shard of each copy). A document's copies are those of the dealt
+    blocks that hold it; whole documents are taken, and of the one block in
+    part the first by hash and the one more that comes nearest to the target. A null source is a source of its own;
     null and empty texts have no words, and only their copies count. Rows with
     the same key and text are taken together. Input columns of the added names
     are replaced; an empty table gives an empty result; reruns agree.
     """
     added = ("size", "source_size", "target", "copies", "taken", "placements")
-    base = fresh(df, *added, "__h", "__src", "__blk")
+    base = fresh(df, *added, "__h", "__src", "__blk", "__rank", "__stop", "__extra", "__homes")
     rows = base.withColumns({
         "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"),
         "__h": F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))),
@@ -134,52 +144,62 @@ def mix(df: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
         "blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words))).cast("long"),
     })
     sources = cut(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size"))), "mix-sources")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-
-    # Where the last epoch's prefix ends: first the bucket of the hash order, then the place in it.
-    ordered = light.withColumn("bucket", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(2**63))), 64 - RADIX_BITS).cast("int"))
-    sums = ordered.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    sums = sums.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.rest")
-    edge = cut(sums.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("source", "bucket", "before", "rest"), "mix-edge")
-    inside = ordered.alias("a").join(edge.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.h", "a.size", "b.before", "b.rest")
-    inside = inside.groupBy("source", "h", "before", "rest").agg(F.sum("size").alias("size"))
-    sofar = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))
-    ends = inside.withColumn("sofar", sofar).groupBy("source").agg(
-        F.min(F.when(F.col("sofar") > F.col("rest"), F.struct("h", (F.col("rest") - F.col("sofar") + F.col("size")).alias("gap")))).alias("next")
-    )
-    # Documents before next.h are in; next.gap words are still wanted.
-    ends = cut(sources.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", F.col("b.next.h").alias("stop"), F.coalesce(F.col("b.next.gap"), F.lit(0.0)).alias("gap")), "mix-ends")
-    beyond = light.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.h") >= F.col("b.stop"))).select("a.source", "a.h", "a.size", "b.gap")
-    beyond = beyond.groupBy("source", "h", "gap").agg(F.sum("size").alias("size")).filter((F.col("size") > 0) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    extra = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "h"))["h"].alias("extra"))
-    ends = ends.alias("a").join(extra.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.extra")
-    place = lambda h, n: F.least(n - 1, F.floor(unit(h.bitwiseXOR(F.lit(-(2**63)))) * n)).cast("long")
-    ends = cut(ends.withColumns({"stop_block": place(F.col("stop"), F.col("blocks")), "extra_block": place(F.col("extra"), F.col("blocks"))}), "mix-plan")
-
-    # The blocks that are taken, their permutation within the source, and the tree that deals them out.
-    block = ends.select("source", "rank", "full", "stop", "stop_block", "extra_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    partial = (F.col("block") <= F.col("stop_block")) | (F.col("block") == F.col("extra_block"))
-    epochs = F.col("full") + F.when(F.coalesce(partial, F.lit(False)), 1).otherwise(0)
-    block = block.withColumn("epochs", epochs).filter("epochs > 0").select("source", "rank", "block", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    drawn = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "block", "epoch"), "block", "epoch")
-    block = cut(block.withColumn("draw", F.row_number().over(drawn).cast("long")), "mix-blocks")
-    counts = ends.join(block.groupBy("rank").agg(F.count("*").alias("n")), "rank", "left").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("c"))
+    of_source = lambda table, name="source": F.col(f"{table}.{name}").eqNullSafe(F.col("s.source"))
+    place = lambda h, n: F.least(n - 1, F.floor(unit(h) * n)).cast("long")
+    turn = lambda epoch: F.xxhash64(F.lit(seed + 1), "rank", "block", epoch)
+    light = light.alias("l").join(sources.alias("s"), of_source("l")).select("rank", "h", "size", "full", "rest", place(F.col("h"), F.col("blocks")).alias("block")).withColumn("k", turn(F.col("full")))
+
+    # Quotas: all blocks of the full epochs, then whole blocks in permuted order up to the target, and one in part.
+    blocks = cut(light.groupBy("rank", "block", "full", "rest", "k").agg(F.sum("size").alias("words")), "mix-blocks")
+    last = blocks.filter("rest > 0").withColumn("bucket", _bucket(F.col("k")))
+    edge = last.groupBy("rank", "rest", "bucket").agg(F.sum("words").alias("words"))
+    edge = edge.withColumn("before", F.sum("words").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("words"))
+    edge = cut(edge.filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("rank", "bucket", "before"), "mix-edge")
+    inside = last.join(edge, ["rank", "bucket"]).withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("rank").orderBy("k", "block")))
+    first = F.min(F.when(F.col("upto") > F.col("rest"), F.struct("k", "block", (F.col("rest") - F.col("upto") + F.col("words")).alias("gap"))))
+    ends = cut(inside.groupBy("rank").agg(first.alias("e")).select("rank", F.col("e.k").alias("stop_k"), F.col("e.block").alias("part"), F.col("e.gap").alias("gap")), "mix-ends")
+    # Of the block in part the documents before stop_h; then the one document more that comes nearest to the target.
+    docs = light.join(ends, "rank").filter((F.col("rest") > 0) & (F.col("k") >= F.col("stop_k")))
+    split = docs.filter(F.col("block") == F.col("part")).groupBy("rank", "h", "gap").agg(F.sum("size").alias("size"))
+    split = split.withColumn("upto", F.sum("size").over(Window.partitionBy("rank").orderBy("h")))
+    split = split.groupBy("rank").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.struct("h", (F.col("gap") - F.col("upto") + F.col("size")).alias("left")))).alias("e"))
+    split = cut(split.select("rank", F.col("e.h").alias("stop_h"), F.col("e.left").alias("left")), "mix-split")
+    spare = docs.join(split, "rank").filter((F.col("block") != F.col("part")) | (F.col("h") >= F.col("stop_h")))
+    spare = spare.groupBy("rank", "block", "h", "left").agg(F.sum("size").alias("size")).filter((F.col("size") > 0) & (F.abs(F.col("left") - F.col("size")) < F.col("left")))
+    spare = spare.groupBy("rank").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "h", "block")).alias("e")).select("rank", F.col("e.h").alias("extra_h"), F.col("e.block").alias("extra"))
+    plan = sources.join(ends, "rank", "left").join(split, "rank", "left").join(spare, "rank", "left")
+    plan = cut(plan.select("source", "source_size", "target", "rank", "blocks", "full", "rest", "stop_k", "part", "stop_h", "extra_h", "extra"), "mix-plan")
+
+    # The quota's blocks in a permutation of each source, and the tree that deals them out.
+    known = blocks.select("rank", "block", "k").join(plan.select("rank", "full", "rest", "stop_k", "part", "extra"), "rank")
+    whole = (F.col("rest") > 0) & (F.col("stop_k").isNull() | (F.col("k") < F.col("stop_k")))
+    kind = lambda n, epoch: F.struct(F.lit(n).alias("kind"), epoch.alias("epoch"))
+    full = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("full") - 1)), lambda e: kind(WHOLE, e))).otherwise(F.array().cast("array<struct<kind:int,epoch:int>>"))
+    more = [(WHOLE, whole), (PART, F.col("block") == F.col("part")), (EXTRA, F.col("block") == F.col("extra"))]
+    rest = F.array(*[F.when(F.coalesce(c, F.lit(False)), kind(n, F.col("full"))) for n, c in more])
+    drawn = known.select("rank", "block", F.explode(F.concat(full, F.filter(rest, lambda x: x.isNotNull()))).alias("x")).select("rank", "block", "x.kind", "x.epoch")
+    drawn = drawn.withColumn("turn", F.xxhash64(F.lit(seed + 2), "rank", "block", "epoch", "kind")).withColumn("bucket", _bucket(F.col("turn")))
+    drawn = cut(drawn, "mix-drawn")
+    ahead = drawn.groupBy("rank", "bucket").agg(F.count("*").alias("n"))
+    ahead = cut(ahead.select("rank", "bucket", (F.sum("n").over(Window.partitionBy("rank").orderBy("bucket")) - F.col("n")).alias("ahead")), "mix-ahead")
+    here = Window.partitionBy("rank", "bucket").orderBy("turn", "block", "epoch", "kind")
+    drawn = drawn.join(ahead, ["rank", "bucket"]).withColumn("draw", F.col("ahead") + F.row_number().over(here))
+    counts = sources.join(drawn.groupBy("rank").agg(F.count("*").alias("n")), "rank", "left").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("n", F.lit(0).cast("long")).alias("n")))).alias("c"))
     leaves = splitting_tree(counts.select(F.col("c.n").alias("counts")), n_shards, seed + 2)
     leaves = leaves.select("shard", F.posexplode("counts").alias("p", "n")).select("shard", (F.col("p") + 1).alias("rank"), "n")
-    leaves = leaves.withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).filter("n > 0")
-    dealt = leaves.select("rank", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("draw"))
-    homes = block.join(dealt, ["rank", "draw"]).groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "shard"))), lambda e: e["shard"]).alias("homes"))
-    homes = cut(homes, "mix-homes")
-
-    joined = rows.alias("d").join(ends.drop("rank").withColumnRenamed("source", "__source").alias("e"), F.col("d.__src.source").eqNullSafe(F.col("e.__source")))
-    last = F.when(F.col("stop").isNull(), F.lit(False)).otherwise((F.col("__h") < F.col("stop")) | F.coalesce(F.col("__h") == F.col("extra"), F.lit(False)))
-    joined = joined.select("d.*", "source_size", "target", place(F.col("__h"), F.col("blocks")).alias("__blk"), (F.col("full") + last.cast("int")).alias("copies"))
-    joined = joined.withColumn("taken", F.col("size") * F.col("copies"))
-    h = homes.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "homes").alias("h")
-    placed = joined.alias("j").join(h, (F.col("j.__blk") == F.col("h.__block")) & F.col("j.__src.source").eqNullSafe(F.col("h.__source")), "left")
-    return placed.select(*[F.col(f"j.{c}") for c in base.columns], "size", "source_size", "target", "copies", "taken", F.when(F.col("copies") > 0, F.slice("homes", 1, F.col("copies"))).otherwise(F.array().cast("array<int>")).alias("placements"))
+    leaves = cut(leaves.withColumn("upto", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).filter("n > 0"), "mix-leaves")
+    dealt = drawn.join(leaves, "rank").filter((F.col("draw") <= F.col("upto")) & (F.col("draw") > F.col("upto") - F.col("n")))
+    homes = cut(dealt.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "kind", "shard"))).alias("homes")), "mix-homes")
+
+    # A document goes where its block has been dealt.
+    here = plan.select(F.col("source").alias("of"), F.struct("source_size", "target", "rank", "blocks", "stop_h", "extra_h").alias("s")).alias("p")
+    mine = rows.alias("d").join(here, F.col("d.__src.source").eqNullSafe(F.col("p.of")))
+    mine = mine.select("d.*", F.col("p.s.source_size").alias("source_size"), F.col("p.s.target").alias("target"), F.col("p.s.rank").alias("__rank"), F.col("p.s.stop_h").alias("__stop"), F.col("p.s.extra_h").alias("__extra"), place(F.col("d.__h"), F.col("p.s.blocks")).alias("__blk"))
+    placed = mine.join(homes.select(F.col("rank").alias("__rank"), F.col("block").alias("__blk"), F.col("homes").alias("__homes")), ["__rank", "__blk"], "left")
+    taken = lambda x: (x["kind"] == WHOLE) | ((x["kind"] == PART) & (F.col("__h") < F.col("__stop"))) | ((x["kind"] == EXTRA) & (F.col("__h") == F.col("__extra")))
+    shards = F.transform(F.filter(F.coalesce("__homes", F.array().cast("array<struct<epoch:int,kind:int,shard:int>>")), taken), lambda x: x["shard"])
+    placed = placed.withColumn("placements", shards).withColumn("copies", F.size("placements"))
+    return placed.select(*[F.col(f"`{c}`") for c in base.columns], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "placements")
 
 
 def draw(mixed: DataFrame, *, seed: int = 5, key: str = "doc_id") -> DataFrame:
