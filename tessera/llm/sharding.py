@@ -35,18 +35,32 @@ def shard(df: DataFrame, n_shards: int = 16, *, key: str = "doc_id", text: str =
     over its buckets by what else their rows hold; null and empty texts count
     as rows of no bytes. An empty table gives an empty result. Input columns
     called ``shard`` or ``slot`` are replaced. Rows that are equal in every
-    column go to one bucket and may change places among themselves; apart from
-    that reruns agree, whatever the partitioning of the input.
-    ``bucket_bytes`` bounds the text of a bucket on average; the number of
-    buckets follows the table.
+    column may change places among themselves; many of them are counted and
+    dealt to several buckets (not where a column is a map or a variant, which
+    have no equality). Apart from that reruns agree, whatever the partitioning
+    of the input. ``bucket_bytes`` bounds the text of a bucket on average; the
+    number of buckets follows the bytes of each shard.
     """
     if n_shards < 1 or bucket_bytes < 1:
         raise ValueError("n_shards and bucket_bytes must be positive")
-    rows = fresh(df, "shard", "slot", "__bucket", "__tie", "__pos")
-    total = rows.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)).alias("b")).first()["b"] or 0
-    per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
-    scattered = rows.withColumns({"shard": shard_of(F.col(key), n_shards, seed), "__tie": row_hash(rows, seed)})
-    scattered = scattered.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__tie"), F.lit(per_shard)).cast("int"))
+    rows = fresh(df, "shard", "slot", "__bucket", "__tie", "__pos", "__bytes", "__salt")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)).cast("long")
+    tied = rows.withColumns({"shard": shard_of(F.col(key), n_shards, seed), "__tie": F.struct(row_hash(rows, seed).alias("a"), row_hash(rows, seed + 2).alias("b"))})
+    ties = cut(tied.groupBy("shard", "__tie").agg(F.sum(size).alias("__bytes"), F.count("*").alias("__rows")), "ties")
+    by_shard = dict(ties.groupBy("shard").agg(F.sum("__bytes")).collect())
+    buckets = F.array(*[F.lit(max(1, math.ceil(by_shard.get(i, 0) / bucket_bytes))) for i in range(n_shards)])
+    hot = ties.filter((F.col("__bytes") > bucket_bytes // 4) & (F.col("__rows") > 1)).select("__tie", "__bytes", "__rows")
+    scattered = tied.withColumn("__salt", F.lit(0).cast("long"))
+    if not any(t in f.dataType.simpleString() for f in rows.schema.fields for t in ("map<", "variant")) and not hot.isEmpty():
+        # Many equal rows: one of them and its number, dealt again in parts of a quarter of a bucket.
+        one = tied.join(hot, "__tie").groupBy("__tie", "__bytes", "__rows").agg(F.first(F.struct(*rows.columns, "shard")).alias("r"))
+        parts = F.least(F.col("__rows"), F.ceil(F.col("__bytes") * 4 / F.lit(bucket_bytes)))
+        one = one.withColumn("parts", parts).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        share = F.floor((F.col("__salt") + 1) * F.col("__rows") / F.col("parts")) - F.floor(F.col("__salt") * F.col("__rows") / F.col("parts"))
+        again = one.withColumn("copy", F.explode(F.array_repeat(F.lit(0), share.cast("int")))).select("r.*", "__tie", "__salt")
+        scattered = tied.join(hot, "__tie", "left_anti").withColumn("__salt", F.lit(0).cast("long")).unionByName(again)
+    scattered = scattered.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__tie", "__salt"), F.element_at(buckets, F.col("shard") + 1)).cast("int"))
+    scattered = scattered.withColumn("__tie", F.col("__tie.a")).drop("__salt")
 
     def fisher_yates(where: tuple, bucket: pa.Table) -> pa.Table:
         at = [int(x.as_py()) for x in where]
