@@ -30,12 +30,14 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) an own folder is
-    made and kept for the session.
+    Only where the session has none and runs on one machine, as in tests, an
+    own folder is made and kept for the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tessera-shared-")
@@ -77,6 +79,22 @@ def discard(table: DataFrame) -> None:
         _delete(spark, name)
 
 
+def so_far(spark: SparkSession) -> int:
+    """How many tables this session has cut; a mark for :func:`discard_since`."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def discard_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables cut since a mark, but for those that hold files of ``keep``."""
+    written = _written.get(spark.sparkContext.applicationId, [])
+    files = [f for table in keep for f in table.inputFiles()[:1]]
+    kept = [p for p in written[mark:] if any(p.rsplit("/", 1)[1] in f for f in files)]
+    for path in written[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    written[mark:] = kept
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that this session has cut; results that read them have to be written before."""
     for path in _written.pop(spark.sparkContext.applicationId, []):

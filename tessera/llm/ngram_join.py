@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_parts, discard, give_back
+from .common import cut, cut_parts, discard, discard_since, give_back, so_far
 from .components import components
 from .packing import expand, expand_sorted, squeeze, squeeze_sorted
 from .tokens import encode, gram_hashes, steps, word_hashes
@@ -38,7 +38,7 @@ from .tokens import encode, gram_hashes, steps, word_hashes
 #: Shingles are compared by hashes of so many bits; the index has their upper bits.
 ID_BITS, INDEX_BITS = 56, 48
 #: Text of a chunk, and text whose shingles one range of the counts is to hold, in bytes.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 12 << 20
 #: Ids in one row of a chunk's sets.
 ROW_IDS = 1 << 14
@@ -356,6 +356,7 @@ def jaccard_components(df: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
     ignored; an empty table gives an empty result. Shingles are compared by
     56-bit hashes.
     """
+    spark, mark = df.sparkSession, so_far(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
     arrow_key = rows.select("key").limit(0).toArrow().schema.field("key").type
@@ -385,6 +386,8 @@ def jaccard_components(df: DataFrame, *, n: int = 4, num: int = 85, den: int = 1
     # Nodes that are linked with no other take their own smallest key.
     linked = classes.join(best, "root").select("node", "best")
     ids = cut(low.join(linked, "node", "left").select("node", F.coalesce("best", "low").alias("component_id")), "classes")
+    discard(parts["sets"])
+    discard_since(spark, mark, parts["docs"], ids)
     out = docs.join(ids, "node", "left")
     return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 

@@ -1,6 +1,7 @@
 """Cases that the corpus operators once cut short."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, html_extract, neighbours
@@ -89,3 +90,26 @@ def test_near_copies_leave_one_row_of_each_class(spark):
     assert sum(s in "de" for s in got) == sum(s in "gh" for s in got) == 1
     again = corpus_pipeline.drop_near_copies(spark, df.repartition(7, "source"), "")
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_many_equal_rows_fill_many_buckets(spark):
+    from tessera.llm import sharding
+
+    df = spark.createDataFrame([(1, "same words again " * 10)] * 3000 + [(i, f"other {i}") for i in range(2, 40)] + [(None, "no id")] * 50, "doc_id long, text string")
+    rows = sharding.shard(df, 4, bucket_bytes=20_000).collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(map(tuple, df.collect()), key=str)
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    places = [r.slot for r in rows if r.doc_id == 1]
+    assert len({r.shard for r in rows if r.doc_id == 1}) == 1 and len(places) == 3000
+    assert sorted(map(tuple, sharding.shard(df.repartition(3), 4, bucket_bytes=20_000).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    from tessera.llm import mixing
+
+    df = spark.createDataFrame([(i, "w " * (i % 7), "abc"[i % 3], i, i, i, i) for i in range(90)], "doc_id long, text string, source string, rank int, h int, blocks int, homes int")
+    m = mixing.mix(df, block_words=20, n_shards=3)
+    assert sorted(tuple(r) for r in m.select(*df.columns).collect()) == sorted(map(tuple, df.collect()))
+    got = m.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
+    assert all(abs(r.t - r.target) <= 3 for r in got)
