@@ -46,8 +46,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's copies of each document: none, one or up to three equal rows."""
-    return mixing.draw(mixing.mix(docs)).select(*docs.columns)
+    """The mix's copies of each document: none, one or up to three equal rows, in files that hold the mix's shards in their shuffled order."""
+    drawn = mixing.draw(mixing.mix(docs.withColumn("__row", F.struct(*docs.columns))))
+    part = F.pmod(F.col("mix_order"), F.lit(64))
+    return drawn.repartition("mix_shard", part).sortWithinPartitions("mix_shard", "mix_order").select("__row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
