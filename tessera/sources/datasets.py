@@ -127,6 +127,43 @@ def instance_counts(labels: DataFrame, connected: bool = False) -> DataFrame:
     return labels.groupBy("source_id").agg(F.count_distinct(F.when(F.col("v") != 0, F.col("v"))).cast("int").alias("instance_count"))
 
 
+def guarded(files: DataFrame, known: DataFrame, hidden_ids: DataFrame, hidden_groups: DataFrame, group_of: DataFrame) -> DataFrame:
+    """``files`` of :func:`.images.scan`, once none of them is hidden and all are among ``known`` (id); nothing is decoded before."""
+    from ..operators import lineage
+
+    ids = files.select(F.col("source_id").alias("id"))
+    lineage.check(ids, hidden_ids, hidden_groups, group_of)
+    unknown = [r[0] for r in ids.distinct().join(known.select("id"), "id", "left_anti").orderBy("id").limit(20).collect()]
+    if unknown:
+        raise ValueError("unknown sources: " + ", ".join(map(str, unknown)))
+    return files
+
+
+def load_sources(files: DataFrame, known: DataFrame, hidden_ids: DataFrame, hidden_groups: DataFrame, group_of: DataFrame) -> DataFrame:
+    """(source_id, r, c, v) of images that a generator may see."""
+    return images.read_pixels(guarded(files, known, hidden_ids, hidden_groups, group_of))
+
+
+def load_segmaps(files: DataFrame, known: DataFrame, hidden_ids: DataFrame, hidden_groups: DataFrame, group_of: DataFrame) -> DataFrame:
+    """(source_id, r, c, v) of label images that a generator may see, their 16-bit numbers as stored."""
+    return images.read_pixels(guarded(files, known, hidden_ids, hidden_groups, group_of), "labels")
+
+
+def with_measures(rows: DataFrame, px: DataFrame | None = None, labels: DataFrame | None = None, connected: bool = False) -> DataFrame:
+    """Manifest rows with height, width and furniture fraction of the images ``px`` and the number of instances of ``labels``.
+
+    Both have the manifest's source_id. Rows without an image or labels keep
+    their values; ``connected`` counts areas of four neighbours, as fields
+    need, else distinct labels.
+    """
+    found = [t for t in (measured(px) if px is not None else None, instance_counts(labels, connected) if labels is not None else None) if t is not None]
+    for t in found:
+        new = [c for c in t.columns if c != "source_id"]
+        kept = rows.join(t.select(F.col("source_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in new]), F.col("source_id") == F.col("__id"), "left")
+        rows = kept.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in new else F.col(c) for c in rows.columns])
+    return rows
+
+
 def build_manifest(spark: SparkSession, metadata: DataFrame, image_files: DataFrame, split: DataFrame, others: list[DataFrame]) -> DataFrame:
     """The checked union of all datasets: metadata rows with measured images, and the other datasets' rows.
 

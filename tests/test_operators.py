@@ -199,3 +199,29 @@ def test_noise_levels_of_table_and_kernel_agree(spark):
     rows = spark.createDataFrame([(i, x.ravel().tolist()) for i, x in enumerate(bank)], "id long, px array<double>")
     found = denoise.sigma_range(rows, pairs=300, seed=4).first()
     assert np.allclose(tuple(found), kernels.sigma_range(bank, pairs=300, seed=4))
+
+
+def test_guarded_loads(spark, tmp_path):
+    shapes = {"a": (4, 3), "b": (2, 2), "t": (2, 3)}
+    for name, shape in shapes.items():
+        (tmp_path / f"{name}.png").write_bytes(images.encode_png(np.full(shape, 300 + len(name), np.uint16)))
+    ids = lambda *x: spark.createDataFrame([(v,) for v in x], "id string")
+    group_of = spark.createDataFrame([("a", "g1"), ("b", "g2"), ("t", "gt")], "id string, group_id string")
+    files = images.scan(spark, str(tmp_path))
+    seen = files.filter("source_id <> 't'")
+    for load in (datasets.load_sources, datasets.load_segmaps):
+        assert load(seen, ids("a", "b", "t"), ids("t"), ids("gt"), group_of).count() == 16
+        with pytest.raises(lineage.LeakageError):
+            load(files, ids("a", "b", "t"), ids(), ids("gt"), group_of)
+        with pytest.raises(ValueError):
+            load(seen, ids("a"), ids("t"), ids("gt"), group_of)
+    labels = datasets.load_segmaps(seen, ids("a", "b"), ids(), ids(), group_of)
+    assert labels.agg(F.max("v")).first()[0] == 301
+
+
+def test_measures_fill_the_manifest(spark):
+    rows = datasets.as_manifest(spark.createDataFrame([("f", "g"), ("h", "g")], "source_id string, group_id string"), "RODARE", "SEM")
+    lab = image(spark, [[5, 0, 5], [5, 0, 0], [0, 7, 7]], "f")
+    got = {r["source_id"]: r for r in datasets.with_measures(rows, image(spark, np.arange(9).reshape(3, 3) * 20, "f"), lab, connected=True).collect()}
+    assert (got["f"]["instance_count"], got["f"]["height"], got["f"]["width"]) == (3, 3, 3) and got["h"]["height"] == 0
+    assert datasets.with_measures(rows, labels=lab).filter("source_id = 'f'").first()["instance_count"] == 2
