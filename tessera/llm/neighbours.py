@@ -39,9 +39,9 @@ def _codes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """int8 codes (held as float32), scales, norms, norms of what the codes miss."""
     scale = np.abs(m).max(axis=1) / 127.0
     scale[scale == 0] = 1.0  # denormal vectors
-    code = np.rint(m / scale[:, None]).astype(np.int8)
-    missed = m - code * scale[:, None]
-    return code.astype(np.float32), scale, np.linalg.norm(m, axis=1), np.linalg.norm(missed, axis=1)
+    units = m / scale[:, None]  # so that no square overflows or vanishes
+    code = np.rint(units).astype(np.int8)
+    return code.astype(np.float32), scale, np.linalg.norm(units, axis=1) * scale, np.linalg.norm(units - code, axis=1) * scale
 
 
 def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,26 +65,37 @@ def search_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndar
     qc, qs, qn, qm = _codes(q)
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
     floor = np.full(len(q_ids), -np.inf)
+
+    def keep(qi: np.ndarray, ri: np.ndarray, part: np.ndarray, part_ids: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = exact_products(q[qi], part[ri])
+        for i, j, s in zip(qi.tolist(), ri.tolist(), np.where(np.isnan(scores), -np.inf, scores).tolist(), strict=True):
+            heap, item = heaps[i], (s, -int(part_ids[j]))
+            if len(heap) < k:
+                heapq.heappush(heap, item)
+            elif item > heap[0]:
+                heapq.heapreplace(heap, item)
+
     for at in range(0, len(ids), step):
         part, part_ids = rows[at : at + step], ids[at : at + step]
         rc, rs, rn, rm = _codes(part)
+        own = q_ids[:, None] == part_ids[None, :]
+        with np.errstate(over="ignore"):
+            bounded = np.isfinite(qn.max() * rn.max() * 4)
+        if not bounded:
+            # Products beyond double precision have no bound: every pair is computed.
+            keep(*np.nonzero(~own), part, part_ids)
+            continue
         near = code_products(qc, rc) * qs[:, None] * rs[None, :]
         # |q.r - near| <= |missed q| |r| + |coded q| |missed r|, and a little for rounding.
         error = qm[:, None] * rn[None, :] + (qn + qm)[:, None] * rm[None, :]
         error += (1e-12 + q.shape[1] * 2.0**-52) * (qn[:, None] * rn[None, :] + 1e-300)
-        own = q_ids[:, None] == part_ids[None, :]
         low = np.where(own, -np.inf, near - error)
         if low.shape[1] > k:
             sure = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
             floor = np.maximum(floor, sure)
         qi, ri = np.nonzero((near + error >= floor[:, None]) & ~own)
-        scores = exact_products(q[qi], part[ri])
-        for i, j, s in zip(qi.tolist(), ri.tolist(), scores.tolist(), strict=True):
-            heap, item = heaps[i], (s, -int(part_ids[j]))
-            if len(heap) < k:
-                heapq.heappush(heap, item)
-            elif item > heap[0]:
-                heapq.heapreplace(heap, item)
+        keep(qi, ri, part, part_ids)
         floor = np.maximum(floor, np.array([h[0][0] if len(h) == k else -np.inf for h in heaps]))
     return [(int(i), -j, s) for i, heap in zip(q_ids, heaps, strict=True) for s, j in heap]
 
@@ -96,7 +107,8 @@ def nearest(df: DataFrame, queries: Column, *, k: int = 20, key: str = "vec_id",
     the smaller id. Vectors that are null, empty, all zero or hold a null or
     non-finite component take no part, nor do rows without an id; a query meets
     rows of its own length only. A row never finds a row of its own id; other
-    ids' equal vectors all count. Fewer than k candidates give fewer rows, an
+    ids' equal vectors all count. Products beyond double precision are infinite,
+    and sums of infinities of both signs count as the least. Fewer than k candidates give fewer rows, an
     empty table none. Other columns are ignored.
     """
     rows = df.filter(F.col(key).isNotNull() & _usable(vec)).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.size(vec).alias("dim"), F.coalesce(queries, F.lit(False)).alias("is_query"))

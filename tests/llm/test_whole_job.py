@@ -113,3 +113,18 @@ def test_mix_keeps_columns_of_its_own_names(spark):
     assert sorted(tuple(r) for r in m.select(*df.columns).collect()) == sorted(map(tuple, df.collect()))
     got = m.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
     assert all(abs(r.t - r.target) <= 3 for r in got)
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(8)
+    for size in (1e200, 1e153, 1e-170, 1.0):
+        v = rng.normal(size=(60, 5)) * size
+        v[::7] /= size
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=4).orderBy("query_id", "rank").collect()
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = neighbours.exact_products(np.repeat(v[:60:20], 60, axis=0), np.tile(v, (3, 1))).reshape(3, 60)
+        s = np.where(np.isnan(s), -np.inf, s)
+        for i, q in enumerate((0, 20, 40)):
+            want = sorted((x for x in range(60) if x != q), key=lambda x: (-s[i, x], x))[:4]
+            assert [r["vec_id"] for r in got if r["query_id"] == q] == want
