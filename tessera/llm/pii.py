@@ -4,7 +4,7 @@ Base rules find seed entities. The words around the seeds induce lexical
 patterns; patterns and instances form a bipartite graph that is scored in
 rounds: a pattern is as good as the instances it finds are, an instance as good
 as the patterns that find it. Patterns of high confidence discover identifiers
-that no rule knows. DataFrame operations only.
+that no rule knows, which induce patterns in turn. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -39,8 +39,11 @@ RULES = (
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", keep=lambda v: _digits(v).between(10, 15)),
 )
 
-#: What may be an unknown identifier: a token of 6 to 64 characters with four digits at least.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{6,64}+(?![^\x20\x09-\x0D]))(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){4})[^\x20\x09-\x0D]++"
+#: What may be an unknown identifier: three or more groups of digits with a blank or hyphen between, the first perhaps
+#: after two letters; or a token of any length from 6 characters on with four digits at least.
+GROUPED = r"[A-Za-z]{0,2}[0-9]{2,5}(?:[\x20-][0-9]{2,5}){2,}+(?:[\x20-][0-9])?+(?![^\x20\x09-\x0D.,;:!?)])"
+TOKEN = r"(?=[^\x20\x09-\x0D]{6})(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){4})[^\x20\x09-\x0D]++"
+CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{GROUPED}|{TOKEN})"
 
 REACH = 48  # characters of context on each side
 
@@ -48,7 +51,8 @@ REACH = 48  # characters of context on each side
 def _context(left: Column, right: Column) -> Column:
     """The patterns of a place: its two words before, and its word before with its word after, in lower case letters."""
     word = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}]", ""))
-    before = F.filter(F.split(F.regexp_replace(left, r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]", " "), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    whole = F.when(F.length(left) < REACH, left).otherwise(F.regexp_replace(left, r"^[^\x20\x09-\x0D]*", ""))  # without a word that was cut
+    before = F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     after = F.filter(F.split(right, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     one, two, next_ = (word(F.coalesce(F.try_element_at(a, F.lit(i)), F.lit(""))) for a, i in ((before, -1), (before, -2), (after, 1)))
     both = F.array(F.when((one != "") & (two != ""), F.concat(F.lit("l:"), two, F.lit(" "), one)), F.when((one != "") & (next_ != ""), F.concat(F.lit("m:"), one, F.lit(" _ "), next_)))
@@ -59,13 +63,25 @@ def base_spans(text: Column, context: int = REACH) -> dict[str, Column]:
     return {r.name: spans(text, r.pattern, r.keep, context=context) for r in RULES}
 
 
-def extract(df: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 4, confidence: float = 0.8) -> DataFrame:
+def _sure(seeds: DataFrame, unknown: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+    """(value, kind) of the unknown values that patterns of enough different seeds find with ``confidence``."""
+    good = cut(seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support), "pii-patterns")
+    edges = cut(unknown.join(good, "pattern").select("kind", "pattern", "value", "seeds"), "pii-edges")
+    instances = edges.select("kind", "value").distinct().withColumn("score", F.lit(0.0))
+    for _ in range(rounds):
+        patterns = edges.join(instances, ["kind", "value"]).groupBy("kind", "pattern").agg(((F.first("seeds") + F.sum("score")) / (F.first("seeds") + F.count("*") + 1)).alias("weight"))
+        doubt = F.exp(F.sum(F.ln(F.greatest(F.lit(1e-6), 1 - F.col("weight")))))
+        instances = cut(edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - doubt).alias("score")), "pii-scores")
+    return cut(instances.filter(F.col("score") >= confidence).groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind")), "pii-sure")
+
+
+def extract(df: DataFrame, *, key: str = "doc_id", text: str = "text", passes: int = 2, rounds: int = 3, support: int = 4, confidence: float = 0.8) -> DataFrame:
     """Every row of ``df`` with ``pii``, an array of (start, order, end, kind) by start and kind.
 
     Kinds are those of RULES, and ``ctx_<kind>`` for identifiers that patterns
     discover. A pattern counts if ``support`` different seeds at least have it;
-    a discovered identifier needs a score of ``confidence`` and overlaps no base
-    span. Positions are code points. Null and empty texts have no spans.
+    a discovered identifier needs a score of ``confidence``, overlaps no base
+    span, and is a seed of the next of the ``passes``. Positions are code points. Null and empty texts have no spans.
     Repeated rows stay and get the same spans; an input column ``pii`` is
     replaced; an empty table gives an empty result.
     """
@@ -88,17 +104,13 @@ def extract(df: DataFrame, *, key: str = "doc_id", text: str = "text", rounds: i
     places = cut(places, "pii-places")
     unknown = places.select("value", F.explode("patterns").alias("pattern")).distinct()
 
-    # Only patterns with enough different seeds take part; edges are distinct, so a hot text counts once.
-    seeds = seeds.distinct()
-    good = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    good = cut(good, "pii-patterns")
-    edges = cut(unknown.join(good, "pattern").select("kind", "pattern", "value", "seeds"), "pii-edges")
-    instances = edges.select("kind", "value").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        patterns = edges.join(instances, ["kind", "value"]).groupBy("kind", "pattern").agg(((F.first("seeds") + F.sum("score")) / (F.first("seeds") + F.count("*") + 1)).alias("weight"))
-        doubt = F.exp(F.sum(F.ln(F.greatest(F.lit(1e-6), 1 - F.col("weight")))))
-        instances = cut(edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg((1 - doubt).alias("score")), "pii-scores")
-    best = instances.filter(F.col("score") >= confidence).groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
+    # Edges are distinct, so a hot text counts once. What a pass is sure of seeds the patterns of the next.
+    seeds, unknown, best = cut(seeds.distinct(), "pii-seeds"), cut(unknown, "pii-unknown"), None
+    for _ in range(passes):
+        sure = _sure(seeds, unknown, rounds, support, confidence)
+        best = sure if best is None else best.unionByName(sure)
+        seeds = seeds.unionByName(sure.join(unknown, "value").select("kind", "value", "pattern"))
+        unknown = unknown.join(sure, "value", "left_anti")
     rank = (F.array_position(F.array(*[F.lit(r.name) for r in RULES]), F.col("kind")) + F.lit(len(RULES) - 1)).cast("int")
     found = places.join(best, "value").select("doc", F.struct("start", rank.alias("order"), "end", F.concat(F.lit("ctx_"), "kind").alias("kind")).alias("s"))
     found = cut(found.groupBy("doc").agg(F.collect_set("s").alias("__found")), "pii-found")

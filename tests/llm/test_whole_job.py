@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, html_extract, neighbours
+from tessera.llm import decontaminate, html_extract, neighbours, pii, toxicity
 
 # 7 decontamination
 
@@ -128,3 +128,26 @@ def test_neighbours_of_huge_and_tiny_vectors(spark):
         for i, q in enumerate((0, 20, 40)):
             want = sorted((x for x in range(60) if x != q), key=lambda x: (-s[i, x], x))[:4]
             assert [r["vec_id"] for r in got if r["query_id"] == q] == want
+
+
+def test_discovered_identifiers_induce_patterns_and_may_be_grouped_or_long(spark):
+    seeds = [(i, f"the patient mailbox is p{i}@clinic.example thanks a lot") for i in range(12)]
+    first = [(100 + i, f"the patient mailbox is DE{i}9 3704 0044 0532 01{i}0 00 thanks a lot") for i in range(4)]
+    both = [(200 + i, f"kindly file under DE{i}9 3704 0044 0532 01{i}0 00 by noon") for i in range(4)]
+    second = [(300, f"kindly file under {'Z' * 90}20481234 by noon")]
+    rest = [(400, "the shop sold 12 34 56 of them in 20481234 rows")]
+    df = spark.createDataFrame(seeds + first + both + second + rest, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["pii"]] for r in pii.extract(df).collect()}
+    assert all(got[i] == [(23, 50, "ctx_email")] for i, _ in first)
+    assert all(got[i] == [(18, 45, "ctx_email")] for i, _ in both)
+    assert got[300] == [(18, 116, "ctx_email")] and got[400] == []
+    once = {r["doc_id"]: r["pii"] for r in pii.extract(df, passes=1).collect()}
+    assert once[300] == [] and len(once[200]) == 1
+
+
+def test_lexicon_ranks_all_terms_by_their_surety(spark):
+    rows = [(i, f"common words everywhere {'vile' if i % 2 else 'fine'} t{i}", i % 2) for i in range(400)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), lexicon_size=1)
+    assert set(model.lexicon.words) | set(model.lexicon.stems) == {"vile"}
+    low, high = model.scores(["common words fine", "common words vile"])
+    assert low < 0.1 and high > 0.9
