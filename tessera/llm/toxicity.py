@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, give_back, id_crc, unit
+from .common import cut, fresh, give_back, id_crc, unit
 from .tokens import steps
 
 # Common insults and second-person words in English, German, French and Spanish.
@@ -188,32 +188,28 @@ class Model:
         plain = 1 / (1 + np.exp(-raw))
         if not len(self.ends):
             return plain
-        # Within a level of the calibration the trees' own order stays visible.
+        # The calibrated level; a millionth of the raw score orders texts of one level.
         level = np.interp(raw, self.ends, np.maximum.accumulate(self.levels))
-        return np.clip(0.98 * level + 0.02 * plain, 0.0, 1.0)
+        return np.clip(level + 1e-6 * (plain - level), 0.0, 1.0)
 
 
-def _lexicon(counts: list[tuple[bool, str, float, float]], toxic: float, clean: float, most: int) -> Lexicon:
-    """The terms with the surest excess among toxic rows: at least 4 of them, by lower bound of the log-odds."""
+def _lexicon(counts: DataFrame, folds: tuple[int, ...], totals: dict, most: int) -> Lexicon:
+    """The ``most`` terms with the surest excess among toxic rows: at least 4 of them, by lower bound of the log-odds."""
+    total = lambda label: sum(totals[f"{label}{f}"] for f in folds) + 1
+    toxic, clean = (sum((F.col(f"{label}{f}") for f in folds), F.lit(0)) + 0.5 for label in ("toxic", "clean"))
+    sure = F.ln(toxic / total("toxic")) - F.ln(clean / total("clean")) - 1.64 * F.sqrt(1 / toxic + 1 / clean)
+    best = counts.filter(F.col("term").isNotNull() & (toxic > 4)).select("stem", "term", sure.alias("sure")).filter(F.col("sure") > 0.7)
     out = Lexicon()
-    scored = []
-    for stem, term, t, c in counts:
-        if t < 4:
-            continue
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        sure = odds - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if sure > 0.7:
-            scored.append((sure, stem, term))
-    for sure, stem, term in sorted(scored, reverse=True)[:most]:
-        (out.stems if stem else out.words)[term] = sure
+    for r in best.orderBy(F.col("sure").desc(), "stem", "term").limit(most).collect():
+        (out.stems if r["stem"] else out.words)[r["term"]] = r["sure"]
     return out
 
 
 def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, lexicon_size: int = 3000, seed: int = 2) -> Model:
     """Fit the model to rows of (key, text, label).
 
-    ``max_rows`` bounds the rows that are learned from (drawn by a seeded hash
-    of the key); rows without a label are left out. Without rows of both labels
+    ``max_rows`` bounds the rows that are learned from, give or take the chance
+    of a draw by a seeded hash of the key, and ``lexicon_size`` the learned terms; rows without a label are left out. Without rows of both labels
     the score is the share of label 1, or 0.5 without any row.
     """
     rows = labelled.filter(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
@@ -237,12 +233,10 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
 
     counted = rows.mapInArrow(teach, "fold int, stem boolean, term string, toxic long, clean long").groupBy("stem", "term")
     per = counted.agg(*[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in (0, 1) for c in ("toxic", "clean")])
-    # What fewer than 4 toxic rows have is in no lexicon; the rest is bounded by max_rows times a text's words.
-    got = per.filter(F.col("term").isNull() | (F.col("toxic0") + F.col("toxic1") >= 4)).orderBy(F.col("term").isNotNull(), (F.col("toxic0") + F.col("toxic1")).desc(), "stem", "term").limit(40 * lexicon_size).collect()
-    totals = next(r for r in got if r["term"] is None)
-    terms_of = lambda folds: [(r["stem"], r["term"], sum(r[f"toxic{f}"] for f in folds), sum(r[f"clean{f}"] for f in folds)) for r in got if r["term"] is not None]
-    make = lambda folds: _lexicon(terms_of(folds), sum(totals[f"toxic{f}"] for f in folds), sum(totals[f"clean{f}"] for f in folds), lexicon_size)
-    other, final = {0: make((1,)), 1: make((0,))}, make((0, 1))
+    per = cut(per.filter(F.col("term").isNull() | (F.col("toxic0") + F.col("toxic1") >= 4)), "toxicity-terms")
+    totals = per.filter(F.col("term").isNull()).first().asDict()
+    other = {0: _lexicon(per, (1,), totals, lexicon_size), 1: _lexicon(per, (0,), totals, lexicon_size)}
+    final = _lexicon(per, (0, 1), totals, lexicon_size)
 
     def measure(batches):  # noqa: ANN001, ANN202
         for b in batches:
