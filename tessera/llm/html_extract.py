@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|["'=]""")
+_OPEN_VALUE = re.compile(r"""=\s*[^\s"'>]+$""")  # a slash that ends it is the value's
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"[a-z]+")
@@ -44,15 +47,43 @@ _NAME = re.compile(r"[a-z]+")
 KEYWORDS = ("cookie", "newsletter", "subscri", "copyright", "©", "all rights", "privacy", "datenschutz", "impressum", "advert", "sponsor", "anzeige", "publicit", "sign up", "log in", "login", "share", "follow us", "related", "recommended", "read more", "javascript", "comment", "reply", "replies")
 
 
+_PARTS: frozenset[str] = frozenset().union(*UNSEEN_IN.values())
+
+
+class Place:
+    """Where a block stands: its innermost block element, all tags and names above it, and the place it is in.
+
+    Places are shared: an element of the same tag and names under the same
+    place is the same place, so a page costs in proportion to its length.
+    """
+
+    __slots__ = ("own", "up", "tags", "names", "below")
+
+    def __init__(self, own: str, up: Place | None, tags: frozenset[str], names: frozenset[str]) -> None:
+        self.own, self.up, self.tags, self.names = own, up, tags, names
+        self.below: dict[tuple[str, frozenset[str]], Place] = {}
+
+    def enter(self, tag: str, names: frozenset[str]) -> Place:
+        place = self.below.get((tag, names))
+        if place is None:
+            tags = self.tags if tag in self.tags else self.tags | {tag}
+            place = Place(tag if tag in BLOCK else self.own, self, tags, self.names if names <= self.names else self.names | names)
+            self.below[tag, names] = place
+        return place
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the tags and names above it, and how many of its letters are in links."""
+    """A leaf block: its text, its place, and how many of its letters are in links."""
 
     text: str
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    place: Place
     linked: int
 
+    @property
+    def names(self) -> frozenset[str]:
+        return self.place.names
+
 
 def is_hidden(attributes: str) -> bool:
     """Whether a tag's attributes hide it: hidden, aria-hidden equal to true, or a style whose display is none."""
@@ -76,7 +107,9 @@ def is_hidden(attributes: str) -> bool:
 def leaf_blocks(page: str) -> list[Block]:
     """The page's text in leaf blocks, white space joined, references decoded; never in elements that show none."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # tag, names, whether unseen from here on
+    stack: list[tuple[str, Place, bool]] = []  # tag, place, whether unseen from here on
+    opened: Counter[str] = Counter()  # how many of each tag the stack holds
+    root = Place("none", None, frozenset(), frozenset())
     pieces: list[str] = []
     linked = 0
 
@@ -84,23 +117,27 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
         if text:
-            blocks.append(Block(text, tuple(t for t, _, _ in stack), frozenset().union(*(n for _, n, _ in stack)), linked))
+            blocks.append(Block(text, stack[-1][1] if stack else root, linked))
         pieces.clear()
         linked = 0
 
+    def drop(i: int) -> None:
+        opened.subtract(t for t, _, _ in stack[i:])
+        del stack[i:]
+
     def put(text: str) -> None:
         nonlocal linked
         if stack and stack[-1][0] == "head" and text.strip():
-            stack.pop()
+            drop(-1)
         if text and not (stack and stack[-1][2]):
             pieces.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if opened["a"]:
                 linked += len(text.strip())
 
     def pop_to(i: int) -> None:
         if any(t in BLOCK for t, _, _ in stack[i:]):
             flush()
-        del stack[i:]
+        drop(i)
 
     at, size = 0, len(page)
     while at < size:
@@ -127,7 +164,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "br":
                 put(" ")
                 continue
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
@@ -137,15 +174,16 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag in BLOCK:
                     flush()
             continue
-        closed = m[3].rstrip().endswith("/")
-        if closed and tag not in BLOCK and any(t in UNSEEN_IN for t, _, _ in stack):
+        end = m[3].rstrip()
+        closed = end.endswith("/") and not _OPEN_VALUE.search(end)
+        if closed and tag not in BLOCK and any(opened[t] for t in UNSEEN_IN):
             continue
         if tag in RAW and tag != "textarea":
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
-            stack.pop()
+            drop(-1)
         if tag == "br" or tag in VOID:
             if tag == "hr":
                 flush()
@@ -154,14 +192,14 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSES_P:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
         if tag in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in SIBLINGS[tag]) else ():
                 if stack[i][0] in SCOPE[tag]:
                     break
                 if stack[i][0] in SIBLINGS[tag]:
@@ -175,8 +213,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if closed and tag not in BLOCK:
             continue
         names = frozenset(n for a in _LABEL.findall(m[3]) for n in _NAME.findall("".join(a).lower())) if m[3] else frozenset()
-        unseen = tag in UNSEEN or bool(stack and stack[-1][2]) or bool(m[3] and is_hidden(m[3])) or any(tag in UNSEEN_IN.get(t, ()) for t, _, _ in stack)
-        stack.append((tag, names, unseen))
+        unseen = tag in UNSEEN or bool(stack and stack[-1][2]) or bool(m[3] and is_hidden(m[3])) or (tag in _PARTS and any(opened[t] and tag in parts for t, parts in UNSEEN_IN.items()))
+        stack.append((tag, (stack[-1][1] if stack else root).enter(tag, names), unseen))
+        opened[tag] += 1
         if tag == "textarea":
             end = re.compile(r"</textarea\b[^>]*>", re.I).search(page, at)
             put(page[at : end.start() if end else size])
@@ -190,12 +229,44 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
 
-def place_features(tags: tuple[str, ...], names: frozenset[str]) -> list[str]:
+def place_features(place: Place) -> list[str]:
     """Binary features of where a block stands: its ancestors and their names."""
-    own = next((t for t in reversed(tags) if t in BLOCK), "none")
-    content = bool({"article", "main"} & set(tags))
-    away = bool({"nav", "header", "footer", "aside", "form"} & set(tags))
-    return ["bias", f"own={own}", f"depth={min(len(tags), 8)}", f"content={content},away={away},own={own}", *[f"in={t}" for t in sorted(set(tags))], *[f"name={x}" for x in sorted(names)]]
+    own, tags = place.own, place.tags
+    content = bool({"article", "main"} & tags)
+    away = bool({"nav", "header", "footer", "aside", "form"} & tags)
+    return ["bias", f"own={own}", f"content={content},away={away},own={own}", *[f"in={t}" for t in sorted(tags)], *[f"name={x}" for x in sorted(place.names)]]
+
+
+def title_features(blocks: list[Block]) -> list[str]:
+    """For each block, whether it is in the element that holds the page's first heading, and whether that has come."""
+    at = next((i for i, b in enumerate(blocks) if "h1" in b.place.tags), -1)
+    if at < 0:
+        return ["title=none"] * len(blocks)
+    around: Place | None = blocks[at].place
+    while around is not None and "h1" in around.tags:
+        around = around.up
+    wide = around is None or around.own in ("none", "html", "body")
+    within: dict[int, bool] = {id(around): True}
+    out = []
+    for i, b in enumerate(blocks):
+        path, place = [], b.place
+        while place is not None and id(place) not in within:
+            path.append(place)
+            place = place.up
+        inside = place is not None and within[id(place)]
+        within.update((id(p), inside) for p in path)
+        out.append(f"title={i >= at},{'wide' if wide else inside}")
+    return out
+
+
+def run_features(blocks: list[Block]) -> list[str]:
+    """For each block, how much of its run is linked: the blocks at its place that follow one another, as a list's items."""
+    out: list[str] = []
+    for _, run in groupby(blocks, key=lambda b: id(b.place)):
+        run = list(run)
+        share = sum(b.linked for b in run) / sum(len(b.text) for b in run)
+        out += [f"run={_bin(len(run), (2, 4))},{_bin(share, (0.01, 0.3, 0.8))},{run[0].place.own in ('li', 'dd', 'td')}"] * len(run)
+    return out
 
 
 def text_features(b: Block, first: bool, last: bool) -> list[str]:
@@ -216,7 +287,7 @@ def text_features(b: Block, first: bool, last: bool) -> list[str]:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     """All features of each block; where it stands decides most, its text the rest."""
-    return [place_features(b.tags, b.names) + text_features(b, i == 0, i == len(blocks) - 1) for i, b in enumerate(blocks)]
+    return [[*place_features(b.place), *around, *text_features(b, i == 0, i == len(blocks) - 1)] for i, (b, *around) in enumerate(zip(blocks, run_features(blocks), title_features(blocks), strict=True))]
 
 
 @dataclass
@@ -233,11 +304,11 @@ class Field:
             return []
         w, tr, places, last = self.weights, self.transitions.tolist(), {}, len(blocks) - 1
         scores = []
-        for i, b in enumerate(blocks):
-            at = (b.tags, b.names)
+        for i, (b, run, title) in enumerate(zip(blocks, run_features(blocks), title_features(blocks), strict=True)):
+            at = id(b.place)
             if at not in places:  # many blocks of a page stand in the same place
-                places[at] = sum(w.get(f, 0.0) for f in place_features(*at))
-            scores.append(places[at] + sum(w.get(f, 0.0) for f in text_features(b, i == 0, i == last)))
+                places[at] = sum(w.get(f, 0.0) for f in place_features(b.place))
+            scores.append(places[at] + w.get(run, 0.0) + w.get(title, 0.0) + sum(w.get(f, 0.0) for f in text_features(b, i == 0, i == last)))
         best, back = [float(self.start[0]), float(self.start[1]) + scores[0]], []
         for s in scores[1:]:
             other = (best[0] + tr[0][0], best[1] + tr[1][0])
@@ -300,7 +371,7 @@ def train_field(pages: list[tuple[str, list[str]]], rounds: int = 160, decay: fl
         post = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         pair = np.exp(alpha[:, :-1, :, None] + tr + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
         grads = [
-            flat.T @ ((y * mask) - post[:, :, 1]).reshape(-1).astype(np.float32) / n - decay * w * 50,
+            flat.T @ ((y * mask) - post[:, :, 1]).reshape(-1).astype(np.float32) / n - decay * w * 10,
             (gold_tr - pair.sum((0, 1))) / n - decay * tr,
             (gold_st - post[:, 0].sum(0)) / n - decay * st,
         ]
@@ -312,7 +383,7 @@ def train_field(pages: list[tuple[str, list[str]]], rounds: int = 160, decay: fl
 
 
 @functools.lru_cache(maxsize=2)
-def default_field(n_pages: int = 500, seed: int = 8) -> Field:
+def default_field(n_pages: int = 1000, seed: int = 8) -> Field:
     return train_field(labelled_pages(n_pages, seed))
 
 

@@ -8,14 +8,19 @@ main blocks, in page order.
 from __future__ import annotations
 
 import random
+import re
 
 # Words that sites use for what isn't the article, in a few languages.
 NAV_WORDS = ["Home", "About", "Contact", "News", "Sport", "Login", "Start", "Über uns", "Kontakt", "Accueil", "Inicio", "Blog", "Shop", "Archive", "FAQ", "Help"]
 NOTICES = ["We use cookies to improve your experience. Accept all or manage your choices.", "Diese Seite verwendet Cookies. Mehr erfahren.", "Ce site utilise des cookies.", "Este sitio usa cookies. Aceptar", "Please enable JavaScript to use this site.", "You have 3 free articles left this month.", "Your browser is out of date."]
 PROMOS = ["Advertisement", "Sponsored content", "Anzeige", "Publicité", "Subscribe to our newsletter", "Sign up for free updates", "Get 20% off today", "Follow us on social media", "Share this article", "Tweet", "Read more", "Related stories", "Most popular", "Recommended for you", "You may also like"]
 FOOTS = ["All rights reserved.", "Terms of use", "Privacy policy", "Impressum", "Mentions légales", "Aviso legal", "Powered by Sitemaker", "Back to top"]
+UNTOLD = 0.3  # the share of pages whose names tell nothing
 SYLLABLES = ["ka", "lo", "ri", "ment", "tor", "sel", "vi", "den", "ün", "sch", "que", "ção", "lla", "ster", "pra", "no", "té", "wer", "ing", "ou", "mas", "fel"]
 
+_NAMES = re.compile(r' (class|id)="[^"]*"')
+_TELLING = re.compile(r"<(/?)(?:nav|header|footer|aside|main|article|section)(?![a-z])")
+
 
 class _Words:
     def __init__(self, rng: random.Random) -> None:
@@ -53,6 +58,14 @@ def _inline(rng: random.Random, text: str) -> str:
     return " ".join(words)
 
 
+def _untold(rng: random.Random, page: str) -> str:
+    """The page with names that tell nothing, or none, and perhaps with plain elements in place of telling ones."""
+    page = _NAMES.sub(lambda m: rng.choice(["", f' {m[1]}="{rng.choice(SYLLABLES)}{rng.choice(SYLLABLES)}"']), page)
+    if rng.random() < 0.5:
+        page = _TELLING.sub(lambda m: f"<{m[1]}div", page)
+    return page
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """One page and the plain texts of its main blocks."""
     w, main, out = _Words(rng), [], []
@@ -106,6 +119,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             parts.append(keep(title, f"<h1>{_inline(rng, title)}</h1>"))
         for _ in range(rng.randint(1, 14)):
             kind, text = rng.random(), w.paragraph()
+            if rng.random() < 0.05:  # articles say such things, too
+                text = rng.choice([rng.choice(NOTICES), rng.choice(PROMOS), rng.choice(FOOTS)])
             if kind < 0.72:
                 shape = rng.random()
                 if shape < 0.55:
@@ -119,15 +134,19 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             elif kind < 0.79:
                 parts.append(keep(text[:40], f"<h2>{_inline(rng, text[:40])}</h2>"))
             elif kind < 0.85:
-                parts.append("<ul>" + "".join(keep(x, f"<li>{_inline(rng, x)}</li>") for x in [w.sentence(1, 8) for _ in range(rng.randint(2, 5))]) + "</ul>")
+                linked = rng.choice([0.0, 0.0, 0.4])
+                item = lambda x: f'<li><a href="/x">{x}</a></li>' if rng.random() < linked else f"<li>{_inline(rng, x)}</li>"  # noqa: B023, E731
+                parts.append("<ul>" + "".join(keep(x, item(x)) for x in [w.sentence(1, 8) for _ in range(rng.randint(2, 5))]) + "</ul>")
             elif kind < 0.89:
                 parts.append(f"<blockquote>{keep(text, f'<p>{_inline(rng, text)}</p>')}</blockquote>")
             elif kind < 0.92:
                 parts.append("<table>" + "".join("<tr>" + "".join(keep(x, f"<td>{x}</td>") for x in w.words(3)) + "</tr>" for _ in range(2)) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.97:
                 parts.append(junk())
             else:
                 parts.append(keep(text[:50], f"<figure><img src=x><figcaption>{_inline(rng, text[:50])}</figcaption></figure>"))
+        if rng.random() < 0.15:  # what follows the text within its element
+            parts.append(rng.choice([comments, junk])())
         return "".join(parts)
 
     page_title = w.sentence()
@@ -149,16 +168,18 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.3:
         inner = f"<main>{inner}</main>" if "<main>" not in inner else inner
     out.append(inner)
-    if rng.random() < 0.4:
+    ends = rng.random() < 0.15  # nothing follows the article
+    if rng.random() < 0.4 and not ends:
         out.append(comments())
-    for _ in range(rng.randint(0, 3)):
+    for _ in range(0 if ends else rng.randint(0, 3)):
         out.append(junk())
-    if rng.random() < 0.85:
+    if rng.random() < 0.85 and not ends:
         foot = f"{rng.choice(['&copy;', '©', 'Copyright'])} {w.word()}.example.org {rng.choice(['&middot;', '|', '-'])} {rng.choice([rng.choice(FOOTS), w.sentence(), w.sentence() + ' ' + w.sentence()])}"
         out.append(rng.choice([f"<footer>{foot}</footer>", f"<footer><p>{foot}</p>{links(3)}</footer>", div(foot, rng.choice(["footer", "foot", "bottom", "colophon"]))]))
     if rng.random() < 0.8:
         out.append("</body></html>")
-    return "".join(out), [" ".join(t.split()) for t in main]
+    page = "".join(out)
+    return _untold(rng, page) if rng.random() < UNTOLD else page, [" ".join(t.split()) for t in main]
 
 
 def labelled_pages(n: int, seed: int) -> list[tuple[str, list[str]]]:

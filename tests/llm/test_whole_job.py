@@ -62,6 +62,26 @@ def test_all_names_of_an_attribute_count():
     assert html_extract.main_text(page, html_extract.default_field()) == "A\n\nFirst text, of the article."
 
 
+def test_names_that_tell_nothing_and_linked_items():
+    field = html_extract.default_field()
+    menu = "<ul class=nv><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/c>Contact</a></li></ul>"
+    parts = ["On the weather of the hills", "The first paragraph tells, in some words, what the weather was like last year.", "plain prose without much of anything in it", "The last paragraph closes the story."]
+    page = f"<body>{menu}<div class=xyzzy><h1>{parts[0]}</h1><p>{parts[1]}</p><p>{parts[2]}</p><p>{parts[3]}</p></div><div class=ft>&copy; Hills example - Terms of use</div></body>"
+    assert html_extract.main_text(page, field) == "\n\n".join(parts)
+    page = "<nav><a href=/>Home</a></nav><article><h1>A title</h1><p>Some words here, and more.</p><ul><li>First item</li><li><a href=/y>Second item</a></li></ul><p>All rights reserved.</p><p>End of it.</p></article>"
+    assert html_extract.main_text(page, field) == "A title\n\nSome words here, and more.\n\nFirst item\n\nSecond item\n\nAll rights reserved.\n\nEnd of it."
+
+
+def test_slash_of_an_unquoted_value_closes_nothing():
+    linked = lambda page: [b.linked for b in html_extract.leaf_blocks(page)]
+    assert linked("<p><a href=/>Home</a></p>") == linked("<p><a href='/'>Home</a></p>") == [4] and linked("<p><a name='x'/>Home</p>") == [0]
+
+
+def test_deep_pages_cost_in_proportion():
+    blocks = html_extract.leaf_blocks("<div><p>x " * 50_000)
+    assert len(blocks) == 50_000 and len(html_extract.default_field().decode(blocks)) == 50_000
+
+
 # 9 neighbours
 
 
