@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bank_queries, grid_queries, synthesis_queries, table_queries  # noqa: F401
+from .plans import bank_queries, file_queries, grid_queries, synthesis_queries, table_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

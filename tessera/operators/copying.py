@@ -44,11 +44,12 @@ def copying_rate(synthetic: DataFrame, reference: DataFrame, **limits: float) ->
     return n.join(synthetic.agg(F.count("*").alias("total"))).select("copied", "total", F.try_divide("copied", "total").alias("rate"))
 
 
-def rate_by_relation(synthetic: DataFrame, reference: DataFrame, relation: str = "relation", **limits: float) -> DataFrame:
-    """The rate against each relation of reference patches (own, other, test), never pooled."""
-    found = confirmed(synthetic, reference, **limits).join(reference.select(F.col("id").alias("ref"), relation), "ref").groupBy(relation).agg(F.count_distinct("syn").alias("copied"))
-    kinds = reference.select(relation).distinct().join(synthetic.agg(F.count("*").alias("total")))
-    return kinds.join(found, relation, "left").select(relation, F.coalesce("copied", F.lit(0).cast("long")).alias("copied"), "total", F.try_divide(F.coalesce("copied", F.lit(0)), "total").alias("rate"))
+def rate_by_relation(synthetic: DataFrame, reference: DataFrame, *by: str, **limits: float) -> DataFrame:
+    """The rate against each relation (own, other, test) of reference patches, or each combination of the columns ``by``, never pooled."""
+    by = by or ("relation",)
+    found = confirmed(synthetic, reference, **limits).join(reference.select(F.col("id").alias("ref"), *by), "ref").groupBy(*by).agg(F.count_distinct("syn").alias("copied"))
+    kinds = reference.select(*by).distinct().join(synthetic.agg(F.count("*").alias("total")))
+    return kinds.join(found, list(by), "left").select(*by, F.coalesce("copied", F.lit(0).cast("long")).alias("copied"), "total", F.try_divide(F.coalesce("copied", F.lit(0)), "total").alias("rate"))
 
 
 def copy_fraction(synthetic: DataFrame, bank: DataFrame, threshold: float = 3.0) -> DataFrame:

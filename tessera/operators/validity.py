@@ -47,3 +47,8 @@ def displacement(real: DataFrame, labels: DataFrame, synthetic: DataFrame, patch
     scored = places.join(spots, [ID, "sy", "sx"]).join(template, [ID, "instance"]).select(ID, "instance", "cy", "cx", "sy", "sx", F.round(expr.ncc(F.col("tpl"), F.col("cand")), 10).alias("score"))
     best = scored.groupBy(ID, "instance", "cy", "cx").agg(F.max_by(F.struct("sy", "sx", "score"), F.struct("score", -F.col("sy"), -F.col("sx"))).alias("b"))
     return best.select(ID, "instance", "cy", "cx", "b.sy", "b.sx", F.sqrt(((F.col("b.sy") - F.col("cy")) ** 2 + (F.col("b.sx") - F.col("cx")) ** 2).cast("double")).alias("displacement"), "b.score")
+
+
+def displacement_summary(found: DataFrame) -> DataFrame:
+    """(n, avg, min and max of displacement and of score) over all instances."""
+    return found.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("displacement", "score") for f in (F.avg, F.min, F.max)])

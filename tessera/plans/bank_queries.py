@@ -152,6 +152,17 @@ def rate_by_relation(spark, d):
     return copying.rate_by_relation(perturbed(spark, d), bank(spark, d).withColumn("relation", relation)).withColumn("rate", F.round("rate", 6))
 
 
+_SET = "CASE label % 2 WHEN 0 THEN 'NIST' ELSE 'RODARE' END"
+
+
+@query("trust_report", f"""{_CAND}, k AS (SELECT DISTINCT {_SET} AS dataset, {_REL} AS relation FROM bank), f AS (SELECT {_SET} AS dataset, {_REL} AS relation, count(DISTINCT syn) AS copied FROM cand WHERE {_NCC} >= 0.95 GROUP BY 1, 2)
+  SELECT dataset, relation, coalesce(copied, 0) AS copied, (SELECT count(*) FROM syn) AS total, round(coalesce(copied, 0) / (SELECT count(*) FROM syn), 6) AS rate FROM k LEFT JOIN f USING (dataset, relation)""")
+def trust_report(spark, d):
+    relation = F.when(F.col("label") % 3 == 0, "own").when(F.col("label") % 3 == 1, "other").otherwise("test")
+    reference = bank(spark, d).withColumns({"relation": relation, "dataset": F.when(F.col("label") % 2 == 0, "NIST").otherwise("RODARE")})
+    return copying.rate_by_relation(perturbed(spark, d), reference, "dataset", "relation").withColumn("rate", F.round("rate", 6))
+
+
 @query("copy_fraction", f"""WITH {SHAKEN}, m AS (SELECT a.id, min(list_distance(a.px, b.px)) AS d FROM syn a, bank b GROUP BY 1)
   SELECT round(avg(CASE WHEN d < 0.0255 THEN 1.0 ELSE 0.0 END), 6) AS copy_fraction, count(*) AS n FROM m""")
 def copy_fraction(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import grids, patches, texture, validity
-from .registry import PIXELS, pixels, query
+from .registry import PIXELS, SQL, pixels, query
 
 ID = grids.ID
 OUT = "SELECT source_id, r, c, round(v, 6) AS v"
@@ -373,6 +373,12 @@ def displacement_search(spark, d):
     return found.withColumns({"displacement": F.round("displacement", 6), "score": F.round("score", 6)})
 
 
+@query("displacement_summary", f"SELECT count(*) AS n, {', '.join(f'round({f}({c}), 5) AS {f}_{c}' for c in ('displacement', 'score') for f in ('avg', 'min', 'max'))} FROM ({SQL['displacement_search']})")
+def displacement_summary(spark, d):
+    s = validity.displacement_summary(displacement_search(spark, d))
+    return s.select("n", *[F.round(c, 5).alias(c) for c in s.columns if c != "n"])
+
+
 @query("labelled_patches", f"""WITH {PIXELS}, {_INST}, {_positions(8, 8)} SELECT pat.source_id, CAST(patch_index AS INTEGER) AS patch_index, CAST(max(CASE WHEN pat.v > 190 THEN 1 ELSE 0 END) AS INTEGER) AS y, round(avg(pat.v), 6) AS mean_v FROM pat GROUP BY 1, 2""")
 def labelled_patches(spark, d):
     p = patches.extract(pixels(spark, d), 8, 8)

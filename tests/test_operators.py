@@ -225,3 +225,15 @@ def test_measures_fill_the_manifest(spark):
     got = {r["source_id"]: r for r in datasets.with_measures(rows, image(spark, np.arange(9).reshape(3, 3) * 20, "f"), lab, connected=True).collect()}
     assert (got["f"]["instance_count"], got["f"]["height"], got["f"]["width"]) == (3, 3, 3) and got["h"]["height"] == 0
     assert datasets.with_measures(rows, labels=lab).filter("source_id = 'f'").first()["instance_count"] == 2
+
+
+def test_arms_learn_the_same_whatever_the_ranges(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    rows = [(a, i, [float(v) for v in x[i]], int(x[i, 0] > 0)) for a in ("a", "b") for i in range(60)]
+    pools = spark.createDataFrame(rows, "arm string, id long, px array<double>, y int")
+    whole = {r["arm"]: r for r in learning.train_arms(pools, steps=50, batch=8, hidden=3).collect()}
+    direct = learning.train(x, (x[:, 0] > 0).astype(float), steps=50, batch=8, hidden=3)
+    assert np.allclose(whole["a"]["w1"], direct.w1.ravel()) and np.allclose(whole["b"]["b1"], direct.b1)
+    parts = {r["arm"]: r for r in learning.train_arms(pools, steps=50, batch=8, hidden=3, rows_a_range=16).collect()}
+    assert set(parts) == {"a", "b"} and parts["a"]["w1"] == parts["b"]["w1"]
