@@ -110,7 +110,7 @@ def guarded_load(spark, d):
     rest = F.col("id").try_cast("long") % 5
     group_of = ids.select(F.col("id"), F.concat(F.lit("g"), rest.cast("string")).alias("group_id"))
     hidden = spark.createDataFrame([("g0",)], "id string")
-    px = datasets.load_sources(files.filter(F.col("source_id").cast("long") % 5 > 0), ids, ids.filter(rest == 0), hidden, group_of)
+    px = datasets.load_sources(files.filter(F.col("source_id").try_cast("long") % 5 > 0), ids, ids.filter(rest == 0), hidden, group_of)
     return px.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean_v"))
 
 
