@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 2048
 
@@ -174,6 +175,28 @@ def weight_collapse(queries: DataFrame, bank: DataFrame, sigmas: tuple[float, ..
     return out
 
 
+def numbered(df: DataFrame, key: str = "id", rows_a_range: int = 1_000_000) -> DataFrame:
+    """``df`` with ``i``, each row's place by ``key`` from 0 on.
+
+    Beyond ``rows_a_range`` rows a numeric key is cut into ranges of about as
+    many; each is ranked by itself, behind the counts of those before it.
+    """
+    n = df.count()
+    parts = -(-n // rows_a_range)
+    if parts < 2 or not isinstance(df.schema[key].dataType, T.NumericType):
+        return df.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1)
+    bounds = sorted(set(df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]))
+    cuts = df.sparkSession.createDataFrame([(bounds,)], f"__cuts array<{df.schema[key].dataType.simpleString()}>")
+    of = df.join(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(key)))).drop("__cuts")
+    ahead, total = [], 0
+    for r, m in sorted(of.groupBy("__range").count().collect()):
+        ahead.append((r, total))
+        total += m
+    offsets = df.sparkSession.createDataFrame(ahead, "__range int, __ahead long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return of.withColumn("i", place).join(F.broadcast(offsets), "__range").withColumn("i", F.col("i") + F.col("__ahead")).drop("__range", "__ahead")
+
+
 def sigma_range(bank: DataFrame, pairs: int = 2000, seed: int = 0, uniform: Callable[..., Column] | None = None) -> DataFrame:
     """(sigma_max, sigma_min): the 50th and 5th percentile of the distances of randomly paired patches.
 
@@ -185,7 +208,7 @@ def sigma_range(bank: DataFrame, pairs: int = 2000, seed: int = 0, uniform: Call
     n = bank.count()
     if n == 0:
         return bank.sparkSession.createDataFrame([], "sigma_max double, sigma_min double")
-    ranked = bank.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
+    ranked = numbered(bank)
     draw = lambda side: F.floor(expr.uniform(f"{seed}:{side}", F.col("id")) * n).cast("int")
     pick = bank.sparkSession.range(pairs).select("id", draw("a").alias("a"), draw("b").alias("b"))
     both = pick.join(ranked.select(F.col("i").alias("a"), F.col("px").alias("pa")), "a").join(ranked.select(F.col("i").alias("b"), F.col("px").alias("pb")), "b")

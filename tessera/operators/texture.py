@@ -96,12 +96,13 @@ def log_spectrum(px: DataFrame) -> DataFrame:
     return px.groupBy(ID).applyInPandas(of, f"source_id {px.schema[ID].dataType.simpleString()}, r int, c int, v double")
 
 
-def diversity(images: DataFrame, kind: str = "l1") -> DataFrame:
+def diversity(images: DataFrame, kind: str = "l1", block: int = 256) -> DataFrame:
     """(grp, pairs, diversity): mean over a group's pairs of members of their difference, absolute or root mean square.
 
-    ``images`` is (grp, member, pos, v). Both measures need no pairs: for
-    absolute differences the sorted values of a pixel are weighted by rank; for
-    the root mean square the pairs are joined on (grp, pos).
+    ``images`` is (grp, member, pos, v). Absolute differences need no pairs: the
+    sorted values of a pixel are weighted by rank. For the root mean square a
+    group's members are dealt to blocks of about ``block``, and pairs of blocks
+    are compared as matrices, over the pixels that both members have.
     """
     if kind == "l1":
         w = Window.partitionBy("grp", "pos").orderBy("v", "member")
@@ -110,9 +111,35 @@ def diversity(images: DataFrame, kind: str = "l1") -> DataFrame:
         per = ranked.groupBy("grp", "pos").agg(F.sum(F.col("v") * (2 * F.col("k") - F.col("n") - 1)).alias("s"), F.first("n").alias("n"))
         per = per.filter("n > 1").withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
         return per.groupBy("grp").agg(F.max("pairs").alias("pairs"), F.avg(F.col("s") / F.col("pairs")).alias("diversity"))
-    b = images.select("grp", F.col("member").alias("m2"), "pos", F.col("v").alias("v2"))
-    pairs = images.join(b, ["grp", "pos"]).filter("member < m2").groupBy("grp", "member", "m2").agg(F.sqrt(F.avg((F.col("v") - F.col("v2")) ** 2)).alias("d"))
-    return pairs.groupBy("grp").agg(F.count("*").alias("pairs"), F.avg("d").alias("diversity"))
+    whole = images.groupBy("grp", "member").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("px"))
+    sizes = whole.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = whole.join(sizes, "grp").select("grp", "blocks", F.pmod(F.xxhash64("member"), "blocks").cast("int").alias("b"), F.col("px.pos").alias("pos"), F.col("px.v").alias("v"), "member")
+    left = dealt.select("grp", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("blocks") - 1)).alias("j"), "pos", "v", "member")
+    right = dealt.select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"), F.col("pos").alias("p"), F.col("v").alias("w"), F.col("member").alias("m")).toDF("grp", "i", "j", "pos", "v", "member")
+
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        n, total = 0, 0.0
+        if len(a) and len(b):
+            at = np.unique(np.concatenate([np.asarray(p) for p in [*a["pos"], *b["pos"]]]))
+
+            def matrix(rows: pd.DataFrame) -> np.ndarray:
+                m = np.full((len(rows), len(at)), np.nan)
+                for k, (p, v) in enumerate(zip(rows["pos"], rows["v"], strict=True)):
+                    m[k, np.searchsorted(at, p)] = v
+                return m
+
+            x, y, same = matrix(a.sort_values("member")), matrix(b.sort_values("member")), key[1] == key[2]
+            for k, row in enumerate(x):
+                squares = (row - (y[k + 1 :] if same else y)) ** 2
+                both = ~np.isnan(squares)
+                shared = both.sum(axis=1)
+                total += float(np.sqrt(np.where(both, squares, 0.0).sum(axis=1)[shared > 0] / shared[shared > 0]).sum())
+                n += int((shared > 0).sum())
+        return pd.DataFrame({"grp": [key[0]], "n": [n], "total": [total]})
+
+    grp = images.schema["grp"].dataType.simpleString()
+    found = left.groupBy("grp", "i", "j").cogroup(right.groupBy("grp", "i", "j")).applyInPandas(compare, f"grp {grp}, n long, total double")
+    return found.groupBy("grp").agg(F.sum("n").alias("pairs"), F.sum("total").alias("total")).filter("pairs > 0").select("grp", "pairs", (F.col("total") / F.col("pairs")).alias("diversity"))
 
 
 def image_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -237,3 +237,22 @@ def test_arms_learn_the_same_whatever_the_ranges(spark):
     assert np.allclose(whole["a"]["w1"], direct.w1.ravel()) and np.allclose(whole["b"]["b1"], direct.b1)
     parts = {r["arm"]: r for r in learning.train_arms(pools, steps=50, batch=8, hidden=3, rows_a_range=16).collect()}
     assert set(parts) == {"a", "b"} and parts["a"]["w1"] == parts["b"]["w1"]
+
+
+def test_places_by_ranges_of_ids(spark):
+    df = spark.range(0, 3000, 3).withColumn("x", F.lit(1)).repartition(7)
+    for n in (64, 1_000_000):
+        rows = {r["id"]: r["i"] for r in denoise.numbered(df, rows_a_range=n).collect()}
+        assert rows == {3 * k: k for k in range(1000)}
+
+
+def test_diversity_by_blocks_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(30, 6))
+    rows = [("g", k, p, float(m[k, p])) for k in range(30) for p in range(6) if (k, p) != (4, 2)] + [("alone", 1, 0, 1.0)]
+    df = spark.createDataFrame(rows, "grp string, member long, pos int, v double")
+    m[4, 2] = np.nan
+    want = np.mean([np.sqrt(np.nanmean((m[a] - m[b]) ** 2)) for a in range(30) for b in range(a)])
+    for block in (4, 256):
+        (r,) = texture.diversity(df, "rmse", block).collect()
+        assert (r["grp"], r["pairs"]) == ("g", 435) and abs(r["diversity"] - want) < 1e-12
