@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expr
-from . import grids
+from . import grids, whole
 
 ID = grids.ID
 
@@ -26,27 +28,45 @@ def displacement(real: DataFrame, labels: DataFrame, synthetic: DataFrame, patch
     """(source_id, instance, cy, cx, sy, sx, displacement, score): where each instance's patch fits the synthetic image best.
 
     Places up to ``radius`` away, both ends included, that keep the patch
-    inside; the first best in row-major order. Places are made by explode, so
-    the search grows with instances times the square of the radius, never with
-    pairs of pixels.
+    inside; the first best in row-major order. Both images and their instances
+    meet in one task, an instance's places are compared there.
     """
-    half = patch_size // 2
-    n = patch_size * patch_size
-    s = grids.shapes(real)
-    inst = centroids(labels, patch_size)
-
-    def cut(px: DataFrame, at: DataFrame, keys: list[str], y: str, x: str, name: str) -> DataFrame:
-        cells = at.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos")).withColumns({"r": (F.col(y) - half + F.floor(F.col("pos") / patch_size)).cast("int"), "c": (F.col(x) - half + F.col("pos") % patch_size).cast("int")})
-        return cells.join(px.select(ID, "r", "c", "v"), [ID, "r", "c"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias(name)).filter(F.size(name) == n)
-
-    template = cut(real, inst, [ID, "instance", "cy", "cx"], "cy", "cx", "tpl")
-    lo = lambda c: F.greatest(F.col(c) - radius, F.lit(half))
-    hi = lambda c, d: F.least(F.col(c) + radius, F.col(d) - half)
-    places = inst.join(s, ID).select(ID, "instance", "cx", "w", F.explode(F.sequence(lo("cy"), hi("cy", "h"))).alias("sy")).select(ID, "instance", "sy", F.explode(F.sequence(lo("cx"), hi("cx", "w"))).alias("sx"))
-    spots = cut(synthetic, places.select(ID, "sy", "sx").distinct(), [ID, "sy", "sx"], "sy", "sx", "cand")
-    scored = places.join(spots, [ID, "sy", "sx"]).join(template, [ID, "instance"]).select(ID, "instance", "cy", "cx", "sy", "sx", F.round(expr.ncc(F.col("tpl"), F.col("cand")), 10).alias("score"))
-    best = scored.groupBy(ID, "instance", "cy", "cx").agg(F.max_by(F.struct("sy", "sx", "score"), F.struct("score", -F.col("sy"), -F.col("sx"))).alias("b"))
-    return best.select(ID, "instance", "cy", "cx", "b.sy", "b.sx", F.sqrt(((F.col("b.sy") - F.col("cy")) ** 2 + (F.col("b.sx") - F.col("cx")) ** 2).cast("double")).alias("displacement"), "b.score")
+    half, n = patch_size // 2, patch_size * patch_size
+    pos = np.arange(n)
+    kind = labels.schema["instance"].dataType.simpleString()
+    pixel = lambda px, which: px.select(ID, F.lit(which).alias("which"), "r", "c", "v", F.lit(None).cast(kind).alias("instance"))
+    inst = centroids(labels, patch_size).select(ID, F.lit(2).alias("which"), F.col("cy").alias("r"), F.col("cx").alias("c"), F.lit(None).cast("double").alias("v"), "instance")
+
+    def cut(im: whole.Image, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, found = im.at((y - half)[:, None] + pos // patch_size, (x - half)[:, None] + pos % patch_size)
+        whole_ones = (found & im.single[row]).all(axis=1)
+        return im.values()[0][row[whole_ones]], whole_ones
+
+    def run(t: pa.Table) -> dict:
+        which = t.column("which")
+        real, moved, at = (t.filter(pc.equal(which, k)) for k in range(3))
+        out: list[tuple] = []
+        if len(real) and len(moved):
+            real, moved = whole.Image(real), whole.Image(moved)
+            for name, cy, cx in zip(at.column("instance").to_pylist(), at.column("r").to_pylist(), at.column("c").to_pylist(), strict=True):
+                template, there = cut(real, np.array([cy]), np.array([cx]))
+                sy, sx = np.arange(max(cy - radius, half), min(cy + radius, real.h - half) + 1), np.arange(max(cx - radius, half), min(cx + radius, real.w - half) + 1)
+                sy, sx = np.repeat(sy, len(sx)), np.tile(sx, len(sy))
+                cand, kept = cut(moved, sy, sx)
+                if not (there.all() and kept.any()):
+                    continue
+                a, b = template[0] - template[0].mean(), cand - cand.mean(axis=1, keepdims=True)
+                down = np.sqrt((a * a).sum() * (b * b).sum(axis=1))
+                score = np.round(np.where(down < 1e-12, 0.0, b @ a / np.where(down < 1e-12, 1.0, down)), 10)
+                best = int(np.argmax(np.where(np.isnan(score), -np.inf, score)))
+                y, x = int(sy[kept][best]), int(sx[kept][best])
+                out.append((name, cy, cx, y, x, float(np.sqrt(float((y - cy) ** 2 + (x - cx) ** 2))), None if np.isnan(score[best]) else float(score[best])))
+        names = ["instance", "cy", "cx", "sy", "sx", "displacement", "score"]
+        types = [at.schema.field("instance").type, *[pa.int32()] * 4, pa.float64(), pa.float64()]
+        return {c: pa.array([row[k] for row in out], kd) for k, (c, kd) in enumerate(zip(names, types, strict=True))}
+
+    every = pixel(real, 0).unionByName(pixel(synthetic, 1)).unionByName(inst)
+    return whole.groups(every, run, f"instance {kind}, cy int, cx int, sy int, sx int, displacement double, score double")
 
 
 def displacement_summary(found: DataFrame) -> DataFrame:

@@ -292,3 +292,39 @@ def test_weights_collapse_in_one_pass(spark):
         d = np.delete(((x[i] - x) ** 2).sum(axis=1), i)
         for s in (1.0, 0.2):
             assert abs(got[i, s] - 1 / np.exp(-(d - d.min()) / (2 * s * s)).sum()) < 1e-12
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pixels_are_dealt_once_and_never_sent_to_all(spark):
+    px = image(spark, np.random.default_rng(13).normal(size=(12, 10)))
+    found = [grids.pad_reflect(px, 3), grids.resize_bilinear(px, 0.6), grids.gaussian_blur(px, 1.0), grids.local_variance(px), grids.sobel(px), patches.extract(px, 8, 5), patches.counts(px.withColumn("excluded", F.lit(False)), 8, 5)]
+    for df in found:
+        plan = plan_of(df)
+        assert plan.count("Exchange") == 1 and "Join" not in plan and df.count() > 0
+    for norm in (None, 0.8):
+        plan = plan_of(patches.reconstruct(patches.extract(px, 8, 5), 8, robust_norm=norm))
+        assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
+def test_filters_of_images_with_gaps(spark):
+    a = np.random.default_rng(14).normal(size=(6, 5))
+    rows = [("s", r, c, None if (r, c) == (2, 2) else float(a[r, c])) for r in range(6) for c in range(5) if (r, c) != (4, 1)]
+    px = spark.createDataFrame(rows, "source_id string, r int, c int, v double")
+    got = {(x["r"], x["c"]): x["v"] for x in grids.gaussian_blur(px, 0.25).collect()}
+    weights = {-1: None, 0: None, 1: None}
+    from tessera.functions import expr
+
+    weights = dict(zip((-1, 0, 1), expr.gaussian_kernel_weights(0.25), strict=True))
+    edge = lambda i, n: -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
+    v = {(r, c): x for _, r, c, x in rows}
+    one = {}
+    for r, c in v:
+        near = [(k, v.get((edge(r + d, 6), c))) for d, k in weights.items()]
+        one[r, c] = sum(k * x for k, x in near if x is not None)
+    want = {(r, c): sum(k * one[r, edge(c + d, 5)] for d, k in weights.items() if (r, edge(c + d, 5)) in one) for r, c in v}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {(x["row"], x["col"]) for x in patches.extract(px, 3, 3).collect()} == {(0, 0), (0, 2), (3, 2)}
+    assert [x for x in patches.extract(px, 3, 3).filter("row = 0 and col = 2").first()["px"]].count(None) == 1
