@@ -369,3 +369,13 @@ def test_correlation_by_blocks_is_that_of_all_pairs(spark):
             use = lambda a, b: np.delete(np.arange(6), 2) if gaps and 4 in (a, b) else np.arange(6)
             assert set(got) == {(a, b) for b in range(25) for a in range(b)}
             assert all(abs(v - np.corrcoef(m[a, use(a, b)], m[b, use(a, b)])[0, 1]) < 1e-12 for (a, b), v in got.items())
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_percentiles_of_all_rows_by_brackets(spark, accuracy):
+    rng = np.random.default_rng(17)
+    for x in (rng.normal(size=2001), rng.integers(0, 4, 1000).astype(float), np.array([3.5]), np.zeros(0)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        got = texture.describe(df, None, "v", accuracy).first()
+        want = df.agg(*[F.percentile("v", F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)]).first()
+        assert got["n"] == len(x) and all(got[p] == want[p] or abs(got[p] - want[p]) < 1e-12 for p in ("p25", "p50", "p75"))
