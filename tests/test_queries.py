@@ -39,7 +39,7 @@ def test_entry_imports_without_the_corpus_operators(tmp_path, pipeline):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
-@pytest.mark.parametrize("name, deals", [("reconstruct_irls", 2), ("reconstruct_mean", 2), ("reconstruct_round_trip", 2)])
+@pytest.mark.parametrize("name, deals", [("reconstruct_irls", 2), ("reconstruct_mean", 2), ("reconstruct_round_trip", 2), ("gaussian_blur", 1)])
 def test_pixels_go_neither_through_the_driver_nor_into_joins(spark, sf, name, deals):
     plan = Q[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange") == deals
